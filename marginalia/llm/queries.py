@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, mixing, url_rules
+from . import block_naming, bpe, mixing, url_rules
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Target weights of the mix; names that are absent weigh 1.
@@ -40,10 +40,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_copies(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """The path of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bpe": op7_bpe,
 }
 
 

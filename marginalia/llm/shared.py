@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +49,21 @@ def integer_names(distinct: DataFrame, order: list[str], bucket_of: Column, buck
     w = Window.partitionBy("_bucket").orderBy(*order)
     numbered = distinct.withColumn("_bucket", F.pmod(bucket_of, F.lit(buckets)).cast("long"))
     return numbered.withColumn(name, (F.row_number().over(w) - 1).cast("long") * F.lit(buckets) + F.col("_bucket")).drop("_bucket")
+
+
+def map_columns(df: DataFrame, start: Callable[[], Callable[..., list[tuple]]], schema: str, columns: list[str]) -> DataFrame:
+    """Run a Python function over Arrow batches. ``start()`` makes, once a task, a function from lists of ``columns`` to rows of ``schema``."""
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        want, work = to_arrow_schema(StructType.fromDDL(schema)), start()
+        for batch in batches:
+            rows = work(*[batch.column(c).to_pylist() for c in columns])
+            cells = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, want.field(k).type) for k, cell in enumerate(cells)], schema=want)
+
+    return df.select(*columns).mapInArrow(run, schema)
