@@ -53,17 +53,18 @@ def integer_names(distinct: DataFrame, order: list[str], bucket_of: Column, buck
 
 def map_columns(df: DataFrame, start: Callable[[], Callable[..., list[tuple]]], schema: str, columns: list[str]) -> DataFrame:
     """Run a Python function over Arrow batches. ``start()`` makes, once a task, a function from lists of ``columns`` to rows of ``schema``."""
-    names = [part.split()[0] for part in schema.split(",")]
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    want = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        want, work = to_arrow_schema(StructType.fromDDL(schema)), start()
+        work = start()
         for batch in batches:
             rows = work(*[batch.column(c).to_pylist() for c in columns])
-            cells = list(zip(*rows, strict=True)) or [()] * len(names)
+            cells = list(zip(*rows, strict=True)) or [()] * len(want)
             yield pa.RecordBatch.from_arrays([pa.array(cell, want.field(k).type) for k, cell in enumerate(cells)], schema=want)
 
     return df.select(*columns).mapInArrow(run, schema)
