@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, bpe, html_content, mixing, pii, toxicity, url_rules, vectors, warc
+from . import block_naming, bpe, html_content, jaccard, mixing, pii, toxicity, url_rules, vectors, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Target weights of the mix; names that are absent weigh 1.
@@ -72,6 +72,10 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_texts(table(spark, sf_dir, "documents")).drop("th")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_html_extraction": op2_html_extraction,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 
