@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -198,18 +198,23 @@ def _definition(docs: DataFrame, path: str):
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ids (array of int)."""
+    """``id_col``, n_tokens, ids (array of int)."""
     definition = _definition(docs, path)
 
-    def start():
-        encoder = _encoder(definition.value)
-
-        def work(ids: list, texts: list) -> list[tuple]:
-            return [(i, list(array("I", encoder.encode(t or "")))) for i, t in zip(ids, texts, strict=True)]
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-        return work
-
-    return map_columns(docs, start, f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>", [id_col, text_col])
+        encoder = _encoder(definition.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                coded = [encoder.encode(t or "") for t in part.column(text_col).to_pylist()]
+                sizes = np.array([len(c) // 4 for c in coded])
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4")), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(sizes, pa.int64()), ids], names=[id_col, "n_tokens", "ids"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -71,9 +71,9 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], fill: tu
 
 
 def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], fill: tuple[int, int] = (1, 2), epochs: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, domain, lang, source, tokens, budget (of the leaf), copies: how often the document is taken."""
+    """``id_col``, domain, lang, source, tokens, budget (of the leaf), copies (how often the document is taken), th (with the id it finds the row)."""
     tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    named = docs.select(F.col(id_col).alias("id"), F.coalesce(domain, F.lit("unknown")).alias("domain"), *[F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in ("lang", "source")], tokens.alias("tokens"))
+    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.coalesce(domain, F.lit("unknown")).alias("domain"), *[F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in ("lang", "source")], tokens.alias("tokens"))
     named = settle(named, "mix-rows")
     leaves = named.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, weights, fill, epochs)
@@ -89,4 +89,12 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], fil
     within = Window.partitionBy(*LEVELS, "span").orderBy("place", "id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(spans, [*LEVELS, "span"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     copies = F.col("rounds") + F.when(F.col("before") < F.col("left"), 1).otherwise(0)
-    return rows.select(F.col("id").alias(id_col), *LEVELS, "tokens", "budget", copies.cast("long").alias("copies"))
+    return rows.select(F.col("id").alias(id_col), *LEVELS, "tokens", "budget", copies.cast("long").alias("copies"), "th")
+
+
+def take(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], fill: tuple[int, int] = (1, 2), epochs: int = 1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of the mix, each as often as it is taken, with all columns of ``docs``."""
+    chosen = mix(docs, domain, weights, fill, epochs, seed, id_col, text_col).groupBy(F.col(id_col).alias("_id"), F.col("th").alias("_th")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumn("_own", F.xxhash64(F.col(text_col))).join(chosen, (F.col("_own") == F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    once = rows.dropDuplicates([id_col, "_own"])
+    return once.select(*docs.columns, F.explode(F.expr("sequence(1L, _copies)")).alias("_nth")).drop("_nth")

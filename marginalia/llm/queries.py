@@ -41,7 +41,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), domain_of_source(), **MIX)
+    return mixing.mix(table(spark, sf_dir, "documents"), domain_of_source(), **MIX).drop("th")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
