@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import search
+from . import evaluations, search, tables
 
-_PARTS = (search,)
+_PARTS = (search, tables, evaluations)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -136,7 +136,7 @@ def _query_values(texts: dict[str, str]) -> str:
     return "asked(query_id, query) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in texts.items()) + ")"
 
 
-_PHRASES = f"""terms AS (SELECT query_id, phrase, {B.TOKENS.format("term")} AS toks, ends_with(term, '*') AS star FROM (SELECT query_id, unnest(string_split(query, ' ')) AS term, generate_subscripts(string_split(query, ' '), 1) AS phrase FROM asked) WHERE term <> ''),
+_PHRASES = f"""terms AS (SELECT query_id, phrase, {B.TOKENS.format("term")} AS toks, ends_with(term, '*') AS star FROM (SELECT query_id, unnest(regexp_split_to_array(query, '\\s+')) AS term, generate_subscripts(regexp_split_to_array(query, '\\s+'), 1) AS phrase FROM asked) WHERE term <> ''),
 phr AS (SELECT *, len(toks) AS n_tokens, count(*) OVER (PARTITION BY query_id) AS n_phrases FROM terms WHERE len(toks) > 0),
 word AS (SELECT query_id, phrase, n_phrases, n_tokens, unnest(toks) AS token, generate_subscripts(toks, 1) AS off, star FROM phr)"""
 
