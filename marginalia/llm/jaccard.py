@@ -174,7 +174,7 @@ def tree_pairs(n, bits, group, block, leaf: int = LEAF, fan: int = FAN):  # noqa
 
 
 def _candidates(branches: DataFrame) -> DataFrame:
-    """a, b: row pairs that the trees of the branches leave. branches: s, band, first, second, own (of this band, not the next lower), block, k, n, root, bits."""
+    """a, b: row pairs that the trees leave, once for each branch. branches: s, band, first, second, own (of this band, not the next lower), block, k, n, root, bits."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -192,9 +192,20 @@ def _candidates(branches: DataFrame) -> DataFrame:
             n = n.astype(int)
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, BITS // 64)
             out_a, out_b = [], []
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if b - a < 2:
-                    continue
+            sizes = np.diff(starts)
+            # branches of a leaf or less: all at once, comparing each row with those at a distance of 1, 2, ...
+            end = np.repeat(starts[1:], sizes)
+            small = np.repeat(sizes <= LEAF, sizes)
+            need = np.bitwise_count(bits).sum(axis=1).astype(int) - n
+            for d in range(1, min(LEAF, int(sizes.max()))):
+                i = np.nonzero(small[:-d] & (np.arange(d, table.num_rows) < end[:-d]))[0]
+                j = i + d
+                ok = (root[i] != root[j]) & ((own[i] == 1) | (own[j] == 1)) & (5 * n[i] >= 4 * n[j])
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(bits[i] & bits[j]).sum(axis=1).astype(int) >= np.maximum(need[i], need[j]) - (-4 * (n[i] + n[j]) // 9)
+                out_a.append(np.minimum(k[i[ok]], k[j[ok]]))
+                out_b.append(np.maximum(k[i[ok]], k[j[ok]]))
+            for a, b in zip(starts[:-1][sizes > LEAF], starts[1:][sizes > LEAF], strict=True):
                 i, j = tree_pairs(n[a:b], bits[a:b], root[a:b], block[a:b])
                 i, j = i + a, j + a
                 ok = (own[i] == 1) | (own[j] == 1)
@@ -220,7 +231,24 @@ def _candidates(branches: DataFrame) -> DataFrame:
             yield pairs(waiting)
 
     order = ["s", "band", "first", "second"]
-    return branches.repartition(*order).sortWithinPartitions(*order, "n", "k").mapInArrow(run, "a bigint, b bigint").distinct()
+    return branches.repartition(*order).sortWithinPartitions(*order, "n", "k").mapInArrow(run, "a bigint, b bigint")
+
+
+def _enough_shared(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs a, b that met in as many branches as similar sets must.
+
+    Of the sets x and y take the one whose prefix ends first, x. All but at most |x| - overlap of its prefix are in y, and as
+    none lies beyond the end of y's prefix, those are in y's prefix. Pairs meet once for each hash that both prefixes hold.
+    """
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    for side in ("a", "b"):
+        counted = counted.join(classes.select(F.col("k").alias(side), F.col("n").alias(f"n_{side}"), F.col("top").alias(f"top_{side}")), side)
+    # signed numbers stand for unsigned hashes: the sign bit turned over keeps their order
+    order = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
+    first = F.when(order("top_a") <= order("top_b"), F.col("n_a")).otherwise(F.col("n_b"))
+    overlap = F.ceil(F.expr("4 * (n_a + n_b) / 9D"))
+    least = (first - F.ceil(F.expr("4D") * first / 5) + 1) - (first - overlap)
+    return counted.where(F.col("shared") >= least).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -254,7 +282,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = own.select("k", "n", F.explode("prefix").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
     shared = settle(rows.join(often, "s").select("s", "k", "n"), "shared")
-    bits = settle(own.select("k", "bits"), "bits")
+    bits = settle(own.select("k", "n", F.element_at("prefix", -1).alias("top"), "bits"), "bits")
 
     met = classes.join(shared.select("k").distinct(), "k", "left_semi").select("k", "row.id", "row.th")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
@@ -278,8 +306,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     filled = filled.where("owned > 0 AND lo != hi").select("s", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     dealt = dealt.join(filled, ["s", "band"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("s", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "own", "block", "k", "n", "root").join(bits, "k")
-    pairs = settle(_candidates(dealt), "pairs")
+    dealt = dealt.select("s", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "own", "block", "k", "n", "root").join(bits.select("k", "bits"), "k")
+    pairs = settle(_enough_shared(_candidates(dealt), bits), "pairs")
     links = settle(links.unionByName(_verified(pairs, texts)), "all-links")
 
     roots = components(links)
