@@ -27,7 +27,7 @@ def grounded(values: Column, text: Column) -> Column:
 
 def iso_parts_hold(iso: Column) -> Column:
     """Whether a date is a day of the calendar, a month, a quarter or a year."""
-    day = F.try_to_date(iso, F.lit("yyyy-MM-dd")).isNotNull() & iso.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    day = F.try_to_date(iso, "yyyy-MM-dd").isNotNull() & iso.rlike(r"^\d{4}-\d{2}-\d{2}$")
     return day | iso.rlike(r"^\d{4}-(0[1-9]|1[0-2])$") | iso.rlike(r"^\d{4}-Q[1-4]$") | iso.rlike(r"^\d{4}$")
 
 
@@ -52,7 +52,10 @@ def validate(cards: DataFrame, text_col: str = "text", card_col: str = "card") -
         clip(F.trim(c["tldr"]), CAPS["chars"]).alias("tldr"), F.trim(c["summary"]).alias("summary"), lists["keywords"].alias("keywords"), lists["questions_answered"].alias("questions_answered"),
         F.struct(*[v.alias(k) for k, v in kept.items()]).alias("entities"), dates.alias("mentioned_dates"), lists["decisions"].alias("decisions"), lists["action_items"].alias("action_items"),
     )
-    lost = F.flatten(F.array(*[F.transform(F.array_except(c["entities"][k], grounded(c["entities"][k], text)), lambda v, k=k: F.concat(F.lit(k + ":"), v)) for k in ENTITY_KINDS]))
+    def named(kind: str) -> Column:
+        return F.transform(F.array_except(c["entities"][kind], grounded(c["entities"][kind], text)), lambda v: F.concat(F.lit(kind + ":"), v))
+
+    lost = F.flatten(F.array(*map(named, ENTITY_KINDS)))
     cut = F.array_compact(F.array(*[F.when(F.size(c[k]) > F.size(v), k) for k, v in lists.items()]))
     return cards.withColumns({"card": fixed, "dropped_entities": lost, "dropped_dates": F.array_except(F.transform(c["mentioned_dates"], lambda d: d["raw"]), F.transform(dates, lambda d: d["raw"])), "trimmed": cut})
 
