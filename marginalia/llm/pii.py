@@ -117,6 +117,7 @@ def features(text: str, span: Span) -> list[float]:
         float("(" in s), float("-" in s), float("." in s), float("/" in s), float(" " in s), float(s[:1] == "0" or s[:2] == "(0"),
         float(before.count(kind)), float(before.count("other")), float(after.count(kind)), float(sum(c is not None and c not in (kind, "other") for c in before)),
         float(len(s) - len(digits)), float(":" in s), float(bool(re.search(r"(?i)dot", s))), float(groups[0][:2] in ("34", "37", "19", "20") if groups else 0),
+        float(before[-1:] == [kind]), float(before[-1:] == ["other"]), float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0),
     ]
 
 
@@ -173,6 +174,8 @@ def _labelled(n: int, rng: random.Random) -> tuple[list[list[float]], list[int],
             a, b, c = number(4, 2, 2)
             value = rng.choice([f"{a}-{b}-{c}", f"{b}.{c}.{a}", f"{a} {a} {b}", f"978-{b}-{a}-{c}", f"{a}/{b}/{c}", f"{a}{b}-{c}"])
         lead = f"{filler()} {cue}{rng.choice(['', ':', ' is'])} " if cue else filler() + " "
+        if rng.random() < 0.4:  # a word that speaks for something else stands farther away
+            lead = f"{rng.choice(CUES['other' if good else kind])} {' '.join(filler().split()[:2])} {cue or 'the'} "
         text = lead + value + rng.choice([" ", ". ", ", "]) + filler()
         for span in candidates(text):
             if span[1] < len(lead) + len(value) and span[2] > len(lead):
