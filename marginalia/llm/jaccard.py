@@ -32,8 +32,11 @@ from .components import components
 from .shared import integer_names, settle
 
 WORDS = 5
-#: Bits of a row's signature, rows of a tree's leaf, children of its nodes, rows of a block.
-BITS, LEAF, FAN, BLOCK = 2048, 16, 8, 4096
+#: Bits of a row's signature, rows of a tree's leaf, children of its nodes, rows of a block. Leaves are small, as the OR of many
+#: rows that are unlike each other has most bits set and cuts nothing off.
+BITS, LEAF, FAN, BLOCK = 2048, 2, 4, 4096
+#: Branches of so many rows or less have their row pairs checked at once, without a tree.
+SMALL = 16
 #: Rounds of heads, and the share of a class's prefix that a head must hold.
 HEAD_ROUNDS, HEAD_SHARE = 3, 0.5
 # Odd 64-bit numbers (fixed values) that mix the hashes of a shingle's words.
@@ -193,11 +196,11 @@ def _candidates(branches: DataFrame) -> DataFrame:
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, BITS // 64)
             out_a, out_b = [], []
             sizes = np.diff(starts)
-            # branches of a leaf or less: all at once, comparing each row with those at a distance of 1, 2, ...
+            # small branches: all at once, comparing each row with those at a distance of 1, 2, ...
             end = np.repeat(starts[1:], sizes)
-            small = np.repeat(sizes <= LEAF, sizes)
+            small = np.repeat(sizes <= SMALL, sizes)
             need = np.bitwise_count(bits).sum(axis=1).astype(int) - n
-            for d in range(1, min(LEAF, int(sizes.max()))):
+            for d in range(1, min(SMALL, int(sizes.max()))):
                 i = np.nonzero(small[:-d] & (np.arange(d, table.num_rows) < end[:-d]))[0]
                 j = i + d
                 ok = (root[i] != root[j]) & ((own[i] == 1) | (own[j] == 1)) & (5 * n[i] >= 4 * n[j])
@@ -205,7 +208,7 @@ def _candidates(branches: DataFrame) -> DataFrame:
                 ok = np.bitwise_count(bits[i] & bits[j]).sum(axis=1).astype(int) >= np.maximum(need[i], need[j]) - (-4 * (n[i] + n[j]) // 9)
                 out_a.append(np.minimum(k[i[ok]], k[j[ok]]))
                 out_b.append(np.maximum(k[i[ok]], k[j[ok]]))
-            for a, b in zip(starts[:-1][sizes > LEAF], starts[1:][sizes > LEAF], strict=True):
+            for a, b in zip(starts[:-1][sizes > SMALL], starts[1:][sizes > SMALL], strict=True):
                 i, j = tree_pairs(n[a:b], bits[a:b], root[a:b], block[a:b])
                 i, j = i + a, j + a
                 ok = (own[i] == 1) | (own[j] == 1)

@@ -34,10 +34,15 @@ def new_place(spark: SparkSession, tag: str) -> str:
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that its lineage ends in files that outlive executors."""
+    """Write ``df`` to the shared folder and read it back, so that its lineage ends in files that outlive executors.
+
+    What was shuffled on the way is no longer needed then. Spark drops shuffle files when the driver's garbage is collected,
+    which a long job of small plans may not see for a while, so the collection is asked for here.
+    """
     spark = df.sparkSession
     place = new_place(spark, tag)
     df.write.parquet(place)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(place)
 
 
