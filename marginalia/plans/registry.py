@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluations, search, tables
+from . import audit_queries, evaluations, search, tables
 
-_PARTS = (search, tables, evaluations)
+_PARTS = (search, tables, evaluations, audit_queries)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
