@@ -112,7 +112,7 @@ def filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def rescored(spark: SparkSession, d: str) -> DataFrame:
     near = _with_docs(spark, d, R.fuse(_lists(spark, d, K), weights={"raw": 0.5}))
-    return R.top(R.rescore_recent(near, B.now(), 30.0), K, "rrf").select("query_id", "section_id", F.col("rank").cast("long").alias("rank"), F.round("rrf", 8).alias("rrf"))
+    return R.top(R.rescore_recent(near, B.now(), 30.0), K, "rrf").select("query_id", "section_id", F.col("rank").cast("long").alias("rank"), "rrf")
 
 
 def explained(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +192,7 @@ ORACLES = {
     "rrf_hybrid": f"{_lists_sql(K)} SELECT query_id, section_id, rank, rrf, CASE WHEN in_cards = 1 AND in_raw = 1 THEN 'both' WHEN in_cards = 1 THEN 'cards' WHEN in_raw = 1 THEN 'raw' ELSE 'vector' END AS matched, in_vector FROM ({_top_sql('fused', 'true', K, 'rrf')})",
     "rrf_filtered": f"{_lists_sql(K)} SELECT query_id, section_id, rank, rrf, path FROM ({_top_sql('placed', f'''updated_at >= TIMESTAMP '2024-01-10' AND updated_at <= {B.NOW_SQL} AND starts_with(path, 'src1')''', K, 'rrf')})",
     "recency_rescored": f"""{_lists_sql(K)}, aged AS (SELECT query_id, section_id, round(rrf * (0.5 + 0.5 * pow(2.0, -greatest(epoch_us({B.NOW_SQL}) - epoch_us(updated_at), 0) / 86400000000.0 / 30.0)), 9) AS rrf FROM placed)
-      SELECT query_id, section_id, rank, round(rrf, 8) AS rrf FROM ({_top_sql("aged", "true", K, "rrf")})""",
+      SELECT query_id, section_id, rank, rrf FROM ({_top_sql("aged", "true", K, "rrf")})""",
     "explain_lists": f"{_lists_sql(4)} SELECT list, query_id, section_id, rank FROM lists",
     "hash_fanout": f"WITH {B.SECTIONS}, h AS (SELECT section_hash, min(section_id) AS hit FROM sections WHERE doc_id < 20 GROUP BY 1) SELECT hit, section_id FROM h JOIN sections USING (section_hash)",
 }
