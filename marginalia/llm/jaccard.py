@@ -281,11 +281,17 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = some.groupBy("digest").agg(F.min(F.struct("id", "th")).alias("row"), F.min("n").alias("n"), F.min("id").alias("least"))
     classes = settle(integer_names(classes, ["digest"], F.xxhash64("digest"), 65536, "k"), "classes")
     known = classes.select("digest", "k", "row.id", "row.th")
-    own = some.join(known, (some.digest == known.digest) & (some.th == known.th) & some.id.eqNullSafe(known.id), "left_semi").dropDuplicates(["digest"]).join(classes.select("digest", "k"), "digest")
-    rows = own.select("k", "n", F.explode("prefix").alias("s"))
+
+    def own(columns: list) -> DataFrame:
+        """One row of each class, with its number; the shuffles carry these columns only."""
+        part = some.select("id", "th", "digest", "n", *columns)
+        one = part.join(known, (part.digest == known.digest) & (part.th == known.th) & part.id.eqNullSafe(known.id), "left_semi")
+        return one.dropDuplicates(["digest"]).join(classes.select("digest", "k"), "digest")
+
+    rows = own(["prefix"]).select("k", "n", F.explode("prefix").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
     shared = settle(rows.join(often, "s").select("s", "k", "n"), "shared")
-    bits = settle(own.select("k", "n", F.element_at("prefix", -1).alias("top"), "bits"), "bits")
+    bits = settle(own([F.element_at("prefix", -1).alias("top"), "bits"]).select("k", "n", "top", "bits"), "bits")
 
     met = classes.join(shared.select("k").distinct(), "k", "left_semi").select("k", "row.id", "row.th")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
