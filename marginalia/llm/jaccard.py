@@ -275,7 +275,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col``, n_shingles, component_id, and th, which with the id tells rows apart."""
+    """One row per input row: ``id_col``, n_shingles, component_id, th, which with the id tells rows apart, and component.
+
+    ``component`` numbers the components (null without shingles): their ids may be null or repeat, these numbers don't.
+    """
     profiles = settle(_profiles(docs, id_col, text_col), "profiles")
     some = profiles.where("n > 0")
     classes = some.groupBy("digest").agg(F.min(F.struct("id", "th")).alias("row"), F.min("n").alias("n"), F.min("id").alias("least"))
@@ -322,18 +325,18 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links)
     least = classes.join(roots.withColumnRenamed("node", "k"), "k", "left").select("digest", "least", F.coalesce("root", "k").alias("root"))
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.join(ids, "root").select("digest", "component_id")
-    out = some.select("id", "th", "n", "digest").join(named, "digest").select("id", "th", "n", "component_id")
-    out = out.unionByName(profiles.where("n = 0").select("id", "th", "n", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", "th")
+    named = least.join(ids, "root").select("digest", "component_id", F.col("root").alias("component"))
+    out = some.select("id", "th", "n", "digest").join(named, "digest").select("id", "th", "n", "component_id", "component")
+    out = out.unionByName(profiles.where("n = 0").select("id", "th", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", "th", "component")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component, with all their columns; rows without shingles all stay."""
     found = similar_texts(docs, id_col, text_col)
-    stay = found.where((F.col("n_shingles") == 0) | F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), F.col("th").alias("_th"), F.col("n_shingles").alias("_n")).distinct()
+    stay = found.where((F.col("n_shingles") == 0) | F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), F.col("th").alias("_th"), F.col("component").alias("_component")).distinct()
     rows = docs.withColumn("_own", F.xxhash64(F.col(text_col)))
     kept = rows.join(stay, (F.col("_own") == F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    # an id may repeat with texts of one component: one row stays for it
-    once = kept.where("_n > 0").dropDuplicates([id_col]).select(*docs.columns)
-    return once.unionByName(kept.where("_n = 0").select(*docs.columns))
+    # an id may repeat within a component, and be null or repeat in others: one row stays for each component
+    once = kept.where("_component IS NOT NULL").dropDuplicates(["_component"]).select(*docs.columns)
+    return once.unionByName(kept.where("_component IS NULL").select(*docs.columns))

@@ -73,7 +73,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_texts(table(spark, sf_dir, "documents")).drop("th")
+    return jaccard.similar_texts(table(spark, sf_dir, "documents")).drop("th", "component")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

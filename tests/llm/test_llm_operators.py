@@ -427,6 +427,16 @@ def test_near_copies_awkward(spark, awkward, empty):  # noqa: ANN001
     assert jaccard.similar_texts(empty).count() == 0 == jaccard.keep_one_of_each(empty).count()
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):  # noqa: ANN001
+    """Texts of different components all stay, though their ids are null or the same; within a component one row stays."""
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = word(1) + " end"
+    rows = [(None, word(1)), (None, near), (None, word(2)), (None, word(3)), (7, word(4)), (7, word(5)), (7, word(5).upper()), (8, word(6)), (None, word(6)), (None, ""), (None, None)]
+    kept = [r["text"] for r in jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sum(t in (word(1), near) for t in kept) == 1 and sum((t or "").lower() == word(5) for t in kept) == 1
+    assert Counter(t for t in kept if t not in (word(1), near) and (t or "").lower() != word(5)) == Counter([word(2), word(3), word(4), word(6), "", None])
+
+
 # the pipeline and the shared parts
 
 
