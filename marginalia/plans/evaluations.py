@@ -156,19 +156,18 @@ def strength_weight(spark, d):  # noqa: ANN001, ANN201
 
 def changed_terms(spark, d):  # noqa: ANN001, ANN201
     rows = B.sections(spark, d)
-    pairs = rows.where("doc_id < 100 AND idx < 3").select(F.concat("doc_id", F.lit("-"), "idx").alias("change"), "text")
-    after = rows.where("doc_id < 100 AND idx BETWEEN 1 AND 3").select(F.concat("doc_id", F.lit("-"), F.col("idx") - 1).alias("change"), "text")
+    pairs = rows.select(F.concat("doc_id", F.lit("-"), "idx").alias("change"), "text")
+    after = rows.where("idx >= 1").select(F.concat("doc_id", F.lit("-"), F.col("idx") - 1).alias("change"), "text")
     return I.changed_terms(pairs, after)
 
 
 def impact_candidates(spark, d):  # noqa: ANN001, ANN201
     rows = B.sections(spark, d)
-    n = 1000
-    df = I.term_frequencies(rows)
-    before = rows.where("doc_id < 20 AND idx = 0").select(F.col("doc_id").alias("change"), "text")
-    after = rows.where("doc_id < 20 AND idx = 1").select(F.col("doc_id").alias("change"), "text")
-    chosen = I.leading_terms(I.changed_terms(before, after), df, n)
-    return I.candidates(chosen, rows, n).select("change", "section_id", "strength", "place")
+    df = I.with_total(I.term_frequencies(rows), rows)
+    before = rows.where("idx = 0").select(F.col("doc_id").alias("change"), "text")
+    after = rows.where("idx = 1").select(F.col("doc_id").alias("change"), "text")
+    chosen = I.leading_terms(I.changed_terms(before, after), df, F.col("n_sections"))
+    return I.candidates(chosen, rows, F.col("n_sections")).select("change", "section_id", "strength", "place")
 
 
 def doc_neighbours(spark, d):  # noqa: ANN001, ANN201
