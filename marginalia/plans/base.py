@@ -81,13 +81,13 @@ def queries_of_benchmark(spark: SparkSession, sf_dir: str, words: int) -> DataFr
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage, by its first 40 characters: keyed by its first token, so the pairs compared are few."""
+    """Documents that hold a whole passage: keyed by its first three tokens, so the pairs compared are few."""
     from ..functions.text import tokens
 
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("begin"), F.concat_ws(" ", F.slice(tokens(F.col("text")), 1, 3)).alias("key"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.concat_ws(" ", F.slice(tokens(F.col("text")), 1, 3)).alias("key"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text", tokens(F.coalesce("text", F.lit(""))).alias("t"))
     runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(F.col("t"), i + 1, 3))))
-    return d.select("doc_id", "text", F.explode(runs).alias("key")).join(b, "key").where(F.contains("text", "begin")).select("query_id", F.col("doc_id").cast("string").alias("page")).distinct()
+    return d.select("doc_id", "text", F.explode(runs).alias("key")).join(b, "key").where(F.contains("text", "passage")).select("query_id", F.col("doc_id").cast("string").alias("page")).distinct()
 
 
 QRELS = "qrels AS (SELECT DISTINCT item_id AS query_id, doc_id::VARCHAR AS page FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)))"

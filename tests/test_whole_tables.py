@@ -73,3 +73,19 @@ def test_impact_candidates(spark, sections, terms):  # noqa: ANN001
                 want.add((d, section, x, place))
     got = [tuple(r) for r in QUERIES["impact_candidates"](spark, SF).select("change", "section_id", "strength", "place").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_qrels_hold_the_whole_passage(spark, tmp_path):  # noqa: ANN001
+    """A document that shares the opening only isn't relevant, nor are passages with equal openings each other's."""
+    opening = "one opening of forty characters and more is "
+    docs = [(1, f"x {opening}shared here y"), (2, f"{opening}other"), (3, f"{opening}shared her"), (4, None), (5, f"{opening}shared here\n{opening}other")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, f"{opening}shared here"), (2, f"{opening}other")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in base.qrels(spark, str(tmp_path)).collect())
+    assert got == [(1, "1"), (1, "5"), (2, "2"), (2, "5")]
+
+
+def test_qrels_of_the_tables(spark):  # noqa: ANN001
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(i, "text").collect()] for t, i in (("documents", "doc_id"), ("benchmark", "item_id")))
+    want = {(q, str(d)) for q, passage in items for d, text in docs if text is not None and passage in text}
+    assert {tuple(r) for r in base.qrels(spark, SF).collect()} == want
