@@ -142,16 +142,17 @@ def interval_selfjoin(spark, d):  # noqa: ANN001, ANN201
 
 def signature_groups(spark, d):  # noqa: ANN001, ANN201
     rows = B.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_returnflag").alias("removed"), F.collect_set("l_linestatus").alias("added"))
-    return I.signature_groups(rows, 1_000_000).select("n", "first_id")
+    return I.signature_groups(rows, None).select("n", "first_id")
 
 
 def term_df(spark, d):  # noqa: ANN001, ANN201
-    return I.term_frequencies(B.sections(spark, d)).where("df > 5")
+    return I.term_frequencies(B.sections(spark, d))
 
 
 def strength_weight(spark, d):  # noqa: ANN001, ANN201
-    df = I.term_frequencies(B.sections(spark, d)).where("df > 5")
-    return df.select("term", I.strength(F.col("df"), F.lit(1000), ~F.col("term").rlike("[0-9]"), F.length("term") % 2 == 0).alias("weight"))
+    rows = B.sections(spark, d)
+    df = I.with_total(I.term_frequencies(rows), rows)
+    return df.select("term", I.strength(F.col("df"), F.col("n_sections"), ~F.col("term").rlike("[0-9]"), F.length("term") % 2 == 0).alias("weight"))
 
 
 def changed_terms(spark, d):  # noqa: ANN001, ANN201
@@ -216,9 +217,8 @@ def humanize_age(spark, d):  # noqa: ANN001, ANN201
 
 
 def embed_texts(spark, d):  # noqa: ANN001, ANN201
-    rows = B.sections(spark, d).where("idx < 2")
-    card = C.synthetic(F.substring("text", 1, 40))
-    return rows.select("section_id", F.md5(C.embed_text(F.concat_ws(" / ", "source", "lang"), card, "summary")).alias("digest"))
+    card = C.synthetic(F.col("text"))
+    return B.sections(spark, d).select("section_id", F.md5(C.embed_text(F.concat_ws(" / ", "source", "lang"), card, "summary")).alias("digest"))
 
 
 QUERIES = {f.__name__: f for f in (seeded_order, split_assign, round_robin_sample, success_mrr_ndcg, coverage_report, pooled_labels, doc_cap_topk, missing_arm_rows, arm_medians, arm_summary, token_savings, paired_winloss, bootstrap_ci, nearest_rank, quantiles_t4, quantiles_latency, agreement, set_f1, alert_quality, interval_selfjoin, signature_groups, term_df, strength_weight, changed_terms, impact_candidates, doc_neighbours, section_times, grounded_entities, normalize_text, token_estimate, heading_only, url_redaction, host_only, humanize_age, embed_texts)}

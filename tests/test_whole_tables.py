@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from marginalia.operators import impact
 from marginalia.plans import base
 from marginalia.plans.registry import QUERIES
 
@@ -89,3 +91,23 @@ def test_qrels_of_the_tables(spark):  # noqa: ANN001
     docs, items = ([tuple(r) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(i, "text").collect()] for t, i in (("documents", "doc_id"), ("benchmark", "item_id")))
     want = {(q, str(d)) for q, passage in items for d, text in docs if text is not None and passage in text}
     assert {tuple(r) for r in base.qrels(spark, SF).collect()} == want
+
+
+def test_every_term_has_its_frequency_and_weight(spark, sections, terms):  # noqa: ANN001
+    df, n = terms[1], len(sections)
+    got = [tuple(r) for r in QUERIES["term_df"](spark, SF).select("term", "df").collect()]
+    assert len(got) == len(df) and dict(got) == df
+    got = [tuple(r) for r in QUERIES["strength_weight"](spark, SF).select("term", "weight").collect()]
+    assert len(got) == len(df) and dict(got) == {t: strength(f, n, not re.search("[0-9]", t), len(t) % 2 == 0) for t, f in df.items()}
+
+
+def test_every_section_is_embedded_whole(spark, sections):  # noqa: ANN001
+    want = {r["section_id"]: hashlib.md5(f"{r['source']} / {r['lang']}\n{r['text']}\n{r['text']}".encode()).hexdigest() for r in sections}
+    got = [tuple(r) for r in QUERIES["embed_texts"](spark, SF).select("section_id", "digest").collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_signature_groups_without_a_bound(spark):  # noqa: ANN001
+    rows = spark.createDataFrame([(i, ["a"], ["b"]) for i in range(40)] + [(50, ["c"], []), (51, ["c"], []), (52, ["d"], [])], "id bigint, removed array<string>, added array<string>")
+    groups = lambda most: sorted((r["n"], r["first_id"]) for r in impact.signature_groups(rows, most).collect())
+    assert groups(None) == [(2, 50), (40, 0)] and groups(30) == [(2, 50)]
