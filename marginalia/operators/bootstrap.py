@@ -91,6 +91,50 @@ def draw_means(spark: SparkSession, values: list[list[float]], starts: list[int]
     return spark.range(draws).mapInArrow(run, "draw bigint, mean double")
 
 
+#: Values a task holds at once, indices it makes at once, and ranges that the draws are dealt in.
+BLOCK, PIECE, RANGES = 1 << 20, 1 << 20, 64
+
+
+def table_means(values: DataFrame, order: list[str], column: str, start: int, draws: int) -> DataFrame:
+    """draw, mean: ``draw_means`` of one group that is a table's ``column`` in the order of ``order``; no value passes through the driver.
+
+    Values are numbered by a range sort and kept in blocks. Each pair of a block and a range of draws is one row: the indices of
+    its draws are made anew, and those that fall into the block are added up.
+    """
+    spark = values.sparkSession
+    numbered = values.orderBy(*order).select(F.col(column).cast("double")).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
+    rows = spark.createDataFrame(numbered, "at bigint, value double")
+    blocks = rows.groupBy(F.floor(F.col("at") / BLOCK).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("own"))
+    blocks = blocks.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
+    step = -(-draws // RANGES)
+    dealt = blocks.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(step)))).repartition(RANGES, "first")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, n, first = (batch.column(c)[k].as_py() for c in ("block", "n", "first"))
+                own = batch.column("own")[k].values.to_numpy(zero_copy_only=False)
+                low, ids = block * BLOCK, range(first, min(first + step, draws))
+                sums = []
+                for draw in ids:
+                    total = 0.0
+                    for begin in range(draw * n, (draw + 1) * n, PIECE):
+                        count = min(PIECE, (draw + 1) * n - begin)
+                        try:
+                            at = indices(start, begin, count, n)
+                        except OverflowError:
+                            at = np.array(sequential(start, begin + count, n)[begin:])
+                        at = at[(at >= low) & (at < low + len(own))] - low
+                        total += float(own[at].sum())
+                    sums.append(total)
+                yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.int64()), pa.array([x / n for x in sums], pa.float64())], names=["draw", "part"])
+
+    return dealt.select("block", "n", "first", "own").mapInArrow(run, "draw bigint, part double").groupBy("draw").agg(F.sum("part").alias("mean"))
+
+
 def interval(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """low, high: nearest-rank quantiles of the draws' means."""
     return means.select(F.round("mean", 9).alias("mean")).agg(nearest_rank("mean", low).alias("low"), nearest_rank("mean", high).alias("high"))

@@ -10,8 +10,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from marginalia.operators import impact
-from marginalia.plans import base
+from marginalia.operators import bootstrap, impact
+from marginalia.plans import base, evaluations
 from marginalia.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +111,40 @@ def test_signature_groups_without_a_bound(spark):  # noqa: ANN001
     rows = spark.createDataFrame([(i, ["a"], ["b"]) for i in range(40)] + [(50, ["c"], []), (51, ["c"], []), (52, ["d"], [])], "id bigint, removed array<string>, added array<string>")
     groups = lambda most: sorted((r["n"], r["first_id"]) for r in impact.signature_groups(rows, most).collect())
     assert groups(None) == [(2, 50), (40, 0)] and groups(30) == [(2, 50)]
+
+
+def test_bootstrap_of_all_labels(spark, tmp_path, monkeypatch):  # noqa: ANN001
+    """The table's means are those of the collected list, in blocks and pieces too, and ids of any size count."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i * 7, rng.randint(0, 5)) for i in range(300)]
+    rng.shuffle(rows)
+    y, start = [float(q) for _, q in sorted(rows)], bootstrap.stream_start(evaluations.SEED, "quality")
+    table = spark.createDataFrame(rows, "doc_id bigint, quality bigint")
+    want = {r["draw"]: round(r["mean"], 9) for r in bootstrap.draw_means(spark, [y], [start], 70).collect()}
+    means = lambda: {r["draw"]: round(r["mean"], 9) for r in bootstrap.table_means(table, ["doc_id"], "quality", start, 70).collect()}
+    assert means() == want
+    monkeypatch.setattr(bootstrap, "BLOCK", 64)
+    monkeypatch.setattr(bootstrap, "PIECE", 37)
+    assert means() == want
+    table.write.parquet(f"{tmp_path}/labels.parquet")
+    one = bootstrap.interval(bootstrap.draw_means(spark, [y], [start], 2000)).first()
+    assert tuple(QUERIES["bootstrap_ci"](spark, str(tmp_path)).first()) == (round(one[0], 6), round(one[1], 6))
+
+
+def test_quantiles_of_all_users(spark, tmp_path):  # noqa: ANN001
+    rows = [(u, float(i * i % 17)) for u in (1, 19, 20, 10**9) for i in range(u % 7 + 1)]
+    spark.createDataFrame(rows, "user_id bigint, value double").write.parquet(f"{tmp_path}/events.parquet")
+    own = defaultdict(list)
+    for u, v in rows:
+        own[u].append(v)
+    for name, half in (("quantiles_t4", 0.5), ("quantiles_latency", 0.0)):
+        want = {u: tuple(sorted(v)[math.floor((len(v) - 1) * q + half)] for q in (0.5, 0.9)) for u, v in own.items()}
+        assert {r["user_id"]: (r["p50"], r["p90"]) for r in QUERIES[name](spark, str(tmp_path)).collect()} == want
+
+
+def test_f1_of_all_documents(spark, tmp_path):  # noqa: ANN001
+    docs = [(1, "a b"), (399, " ".join(f"w{i}" for i in range(30))), (400, " ".join(f"w{i}" for i in range(30))), (10**9, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["f1"] for r in QUERIES["set_f1"](spark, str(tmp_path)).collect()}.keys() == {1, 399, 400, 10**9}
