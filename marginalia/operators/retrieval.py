@@ -8,6 +8,7 @@ counts. The queries' side is small and Catalyst sees its size; the text itself i
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -125,6 +126,66 @@ def vector_hits(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", place).where(F.col("rank") < k)
 
 
+#: Vectors and queries of a block, and how far a cosine may lie under the k-th and still equal it after rounding.
+VECTORS_A_BLOCK, QUERIES_A_BLOCK, SLACK = 2048, 256, 2e-6
+
+
+def vector_hits_in_blocks(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``vector_hits`` for queries that grow with the table; ids and query ids are bigint.
+
+    Both sides are packed into blocks, and each pair of blocks is one row: the products of a pair are summed in the vectors'
+    order, as ``dot`` sums them, and a query's k best of the block go on.
+    """
+
+    def packed(rows: DataFrame, most: int) -> DataFrame:
+        def run(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                sizes = np.array([len(v) for v in batch.column("vector")])
+                for dim in np.unique(sizes):
+                    same = batch.filter(pa.array(sizes == dim))
+                    for at in range(0, same.num_rows, most):
+                        part = same.slice(at, most)
+                        data = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
+                        yield pa.RecordBatch.from_pylist([{"dim": int(dim), "ids": part.column("id").to_pylist(), "data": data}], schema=pa.schema([("dim", pa.int32()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())]))
+
+        return rows.where("vector IS NOT NULL").select("id", "vector").mapInArrow(run, "dim int, ids array<bigint>, data binary")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim, q_dim, ids, q_ids, data, q_data = (batch.column(c)[row].as_py() for c in ("dim", "q_dim", "ids", "q_ids", "data", "q_data"))
+                if dim != q_dim:
+                    continue
+                v, q = (np.frombuffer(x, np.float64).reshape(len(i), dim) for x, i in ((data, ids), (q_data, q_ids)))
+                ids, q_ids = np.array(ids), np.array(q_ids)
+                score = np.zeros((len(q), len(v)))
+                for i in range(dim):
+                    score += q[:, i, None] * v[None, :, i]
+                least = np.partition(score, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(q), -np.inf)
+                a, b = np.nonzero(score >= least[:, None] - SLACK)
+                # of equal cosines the k least ids can count
+                order = np.lexsort((ids[b], -score[a, b], a))
+                a, b = a[order], b[order]
+                x = score[a, b]
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (x[1:] != x[:-1])
+                starts = np.nonzero(new)[0]
+                keep = np.arange(len(a)) - starts[np.cumsum(new) - 1] < k
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[keep]]), pa.array(ids[b[keep]]), pa.array(x[keep])], names=["query_id", "id", "cosine"])
+
+    wanted = packed(asked.select(F.col("query_id").alias("id"), "vector"), QUERIES_A_BLOCK).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    pairs = packed(vectors, VECTORS_A_BLOCK).crossJoin(wanted)
+    scored = pairs.mapInArrow(run, "query_id bigint, id bigint, cosine double").withColumn("cosine", F.round("cosine", 6))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")) - 1
+    return scored.withColumn("rank", place).where(F.col("rank") < k)
+
+
 def fuse(lists: dict[str, DataFrame], k: float = 60.0, weights: dict[str, float] | None = None) -> DataFrame:
     """lists: query_id, section_id, rank each -> query_id, section_id, rrf, in_<list> flags, matched."""
     k = min(max(k, 1.0), 1e6)

@@ -15,7 +15,7 @@ from . import evaluations as E
 
 
 def adaptive_depth(spark, d):  # noqa: ANN001, ANN201
-    e = B.table(spark, d, "events").where("user_id < 20")
+    e = B.table(spark, d, "events")
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id")) - 1
@@ -63,12 +63,12 @@ def resolve_citations(spark, d):  # noqa: ANN001, ANN201
 
 
 def calendar_questions(spark, d):  # noqa: ANN001, ANN201
-    o = B.table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    o = B.table(spark, d, "orders")
     return A.calendar_questions(o.select(F.to_date("o_orderdate").alias("day"), F.concat("o_orderpriority", F.lit("/"), F.col("o_custkey").cast("string")).alias("path")))
 
 
 def round_robin_arms(spark, d):  # noqa: ANN001, ANN201
-    e = B.table(spark, d, "events").where("event_id < 500")
+    e = B.table(spark, d, "events")
     return A.round_robin_arms(e.select((F.col("event_id") % 90).alias("item"), F.col("event_type").alias("arm"), F.col("event_id").alias("place")))
 
 

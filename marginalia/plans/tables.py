@@ -176,9 +176,9 @@ def line_multiset_diff(spark, d):  # noqa: ANN001, ANN201
 
 
 def relocated(spark, d):  # noqa: ANN001, ANN201
-    rows = B.sections(spark, d).where("idx % 3 = 0")
+    rows = B.sections(spark, d)
     heading = F.concat_ws("/", "source", "lang")
-    return D.relocate(rows.withColumn("heading", heading), B.edited(B.sections(spark, d)).withColumn("heading", F.concat(heading, F.lit("!"))))
+    return D.relocate(rows.withColumn("heading", heading), B.edited(rows).withColumn("heading", F.concat(heading, F.lit("!"))))
 
 
 def dedupe_content_hash(spark, d):  # noqa: ANN001, ANN201

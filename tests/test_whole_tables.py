@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from marginalia.operators import bootstrap, impact
+from marginalia.operators import bootstrap, impact, retrieval
 from marginalia.plans import base, evaluations
 from marginalia.plans.registry import QUERIES
 
@@ -148,3 +148,75 @@ def test_f1_of_all_documents(spark, tmp_path):  # noqa: ANN001
     docs = [(1, "a b"), (399, " ".join(f"w{i}" for i in range(30))), (400, " ".join(f"w{i}" for i in range(30))), (10**9, None)]
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["f1"] for r in QUERIES["set_f1"](spark, str(tmp_path)).collect()}.keys() == {1, 399, 400, 10**9}
+
+
+def rows_of(spark, name):  # noqa: ANN001, ANN201
+    return spark.read.parquet(f"{SF}/{name}.parquet").collect()
+
+
+def test_arms_take_turns_over_all_events(spark):  # noqa: ANN001
+    turn, first = Counter(), {}
+    for r in sorted(rows_of(spark, "events"), key=lambda r: r["event_id"]):
+        turn[r["event_type"]] += 1
+        at = (turn[r["event_type"]], r["event_type"])
+        first[r["event_id"] % 90] = min(first.get(r["event_id"] % 90, at), at)
+    got = QUERIES["round_robin_arms"](spark, SF).collect()
+    assert {(r["item"], r["arm"], r["turn"]) for r in got} == {(i, a, t) for i, (t, a) in first.items()} and len(got) == len(first)
+
+
+def test_arms_take_late_events(spark, tmp_path):  # noqa: ANN001
+    spark.createDataFrame([(1, "a"), (600, "b")], "event_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {(r["item"], r["arm"]) for r in QUERIES["round_robin_arms"](spark, str(tmp_path)).collect()} == {(1, "a"), (60, "b")}
+
+
+def test_depths_of_all_users(spark, tmp_path):  # noqa: ANN001
+    rows = [(u * 1000 + i, u, "e", float(-i)) for u in (19, 20, 10**6) for i in range(12)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in QUERIES["adaptive_depth"](spark, str(tmp_path)).select("query_id", "depth").collect()} == {(u, 16) for u in (19, 20, 10**6)}
+
+
+def test_folders_count_all_orders(spark):  # noqa: ANN001
+    changed = defaultdict(set)
+    for r in rows_of(spark, "orders"):
+        changed[r["o_orderpriority"], r["o_orderdate"].toordinal()].add(r["o_custkey"])
+    members = {(f, d): len(set().union(*(changed.get((f, d - k), set()) for k in range(14)))) for f, d in changed}
+    got = {(r["folder"], r["day"].toordinal()): r["members"] for r in QUERIES["calendar_questions"](spark, SF).collect()}
+    assert got == {k: n for k, n in members.items() if 1 <= n <= 12}
+
+
+def test_all_sections_are_relocated(spark, sections):  # noqa: ANN001
+    now = defaultdict(list)
+    for r in base.edited(base.sections(spark, SF)).collect():
+        now[r["doc_id"]].append((r["idx"], r["section_hash"]))
+    want = {}
+    for r in sections:
+        met = [(0 if h == r["section_hash"] and i == r["idx"] else 1 if h == r["section_hash"] else 3, i) for i, h in now[r["doc_id"]] if h == r["section_hash"] or i == r["idx"]]
+        if met:
+            want[r["doc_id"], r["idx"]] = min(met)[1]
+    assert {(r["doc_id"], r["idx"]): r["now_idx"] for r in QUERIES["relocated"](spark, SF).collect()} == want
+
+
+def test_all_hashes_fan_out(spark, sections):  # noqa: ANN001
+    alike = defaultdict(list)
+    for r in sections:
+        alike[r["section_hash"]].append(r["section_id"])
+    got = [tuple(r) for r in QUERIES["hash_fanout"](spark, SF).select("hit", "section_id").collect()]
+    assert sorted(got) == sorted((min(ids), s) for ids in alike.values() for s in ids)
+
+
+def test_every_fiftieth_vector_asks(spark):  # noqa: ANN001
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id id", "embedding vector")
+    want = retrieval.vector_hits(v, v.where("id % 50 = 0").selectExpr("id query_id", "vector"), 10).select("query_id", "id", "cosine", "rank").collect()
+    got = QUERIES["vector_topk"](spark, SF).select("query_id", "id", "cosine", "rank").collect()
+    assert len({r["query_id"] for r in got}) == v.where("id % 50 = 0").count() and Counter(map(tuple, got)) == Counter(map(tuple, want))
+
+
+def test_blocks_of_vectors_lose_no_hit(spark, monkeypatch):  # noqa: ANN001
+    """Ties, short tables of other lengths and null vectors, in blocks of a few rows."""
+    rows = [(i, [float(i % 3), float(i % 5 - 2), 1.0]) for i in range(60)] + [(60 + i, [1.0, float(i)]) for i in range(4)] + [(70, None)]
+    v = spark.createDataFrame(rows, "id bigint, vector array<float>")
+    asked = v.where("id % 4 = 0").selectExpr("id query_id", "vector")
+    monkeypatch.setattr(retrieval, "VECTORS_A_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERIES_A_BLOCK", 3)
+    columns = ["query_id", "id", "cosine", "rank"]
+    assert Counter(map(tuple, retrieval.vector_hits_in_blocks(v, asked, 5).select(*columns).collect())) == Counter(map(tuple, retrieval.vector_hits(v, asked, 5).select(*columns).collect()))
