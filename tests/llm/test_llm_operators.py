@@ -252,6 +252,26 @@ def test_archive_is_gzip(spark, tmp_path):  # noqa: ANN001
     assert [h["warc-segment-number"] for h in heads] == ["1", "2", "3"] and heads[2]["warc-segment-total-length"] == "1500"
 
 
+def test_broken_archives_are_found(spark, tmp_path):  # noqa: ANN001
+    """Lengths and digests are those of the bytes read; a wrong, short or missing chunk fails the query."""
+    place = f"file://{tmp_path}/w"
+    pages = spark.createDataFrame([(1, "u", "x" * 100), (2, "u", "abc" * 500), (3, "u", "z" * 1500), (4, "u", "abc" * 500)], "page_id bigint, url string, html string")
+    warc.write(warc.chunks(warc.records(pages), 600), place)
+    parts = warc.read(spark, place)
+    good = warc.verified(parts)
+    assert all(r["intact"] for r in good.collect()) and warc.sound(good).count() == 4 and "intact" not in warc.sound(good).columns
+    other = lambda body: F.when(F.col("row_id") == "1", F.lit(body.encode())).otherwise(F.col("body")).alias("body")
+    rest = [c for c in parts.columns if c != "body"]
+    broken = [(parts.select(*rest, other("y" * 100)), 1, b"y" * 100), (parts.select(*rest, other("x" * 40)), 1, b"x" * 40)]
+    broken += [(parts.where(f"NOT (row_id = '3' AND chunk = {k})"), 3, b"z" * n) for k, n in ((1, 900), (2, 900), (3, 1200))]
+    for some, row, left in broken:
+        got = {r["page_id"]: r for r in warc.verified(some).collect()}
+        assert len(got) == 4 and {i for i, r in got.items() if not r["intact"]} == {row}
+        assert (got[row]["payload_bytes"], got[row]["payload_digest"]) == (len(left), hashlib.sha1(left).hexdigest())
+        with pytest.raises(Exception, match="differs from its header"):
+            warc.sound(warc.verified(some)).collect()
+
+
 # 6: copies
 
 
