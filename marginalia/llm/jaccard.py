@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by signature trees; it loses no link between different texts.
+"""N-gram Jaccard join by signature trees; it loses no link that two components would need to be one.
 
 Texts with equal shingle sets form one class. If two sets have a Jaccard similarity of at least 4/5, they share one of
 their smallest hashes: any ceil-free fifth and one more of either set (the prefix). Classes are therefore dealt by the
@@ -11,7 +11,8 @@ together; row pairs that are left are compared exactly, by the texts.
 
 Large groups of near copies would fill such lists with pairs that add nothing to the components. So first each class is
 compared with a few heads, classes that share at least half of its prefix, and what is thereby linked becomes one
-component; the trees are then walked for pairs of different components only. Branches of many classes are split by size
+component; the trees are then walked for pairs of different components only. The components are thus whole, but links
+inside one are not listed or counted. Branches of ``SMALL`` classes or fewer have no tree: their pairs are compared by bitmaps. Branches of many classes are split by size
 bands (similar sizes are at most one band apart) and those into blocks, dealt as block pairs; nothing is capped.
 
 Hashes have 64 bits; links are decided on the two texts' own shingle sets. Defined results: A-Z are lower-cased and
