@@ -4,6 +4,10 @@ Texts with equal shingle sets form one class. If two sets have a Jaccard similar
 their smallest hashes: any ceil-free fifth and one more of either set (the prefix). Classes are therefore dealt by the
 hashes of their prefixes, as branches of one tree; hashes that one class alone has fall away.
 
+Any order of the hashes will do for that, so very common ones come last in it: a passage that a large part of all texts
+quote then makes a branch of the few texts that hold little else, not of all. They are counted over all texts first;
+how many there can be is bounded by their definition (``COMMON_PARTS``), so they can be sent to every task.
+
 Below each branch stands a signature tree: classes in order of size are its leaves' rows, and a node holds the OR of the
 rows' bitmaps and their range of sizes. A pair of nodes is cut off if no pair of rows in them can overlap enough: the
 bits that both nodes have are fewer than any row pair needs, or the sizes are too far apart. Both sides are descended
@@ -12,8 +16,12 @@ together; row pairs that are left are compared exactly, by the texts.
 Large groups of near copies would fill such lists with pairs that add nothing to the components. So first each class is
 compared with a few heads, classes that share at least half of its prefix, and what is thereby linked becomes one
 component; the trees are then walked for pairs of different components only. The components are thus whole, but links
-inside one are not listed or counted. Branches of ``SMALL`` classes or fewer have no tree: their pairs are compared by bitmaps. Branches of many classes are split by size
-bands (similar sizes are at most one band apart) and those into blocks, dealt as block pairs; nothing is capped.
+inside one are not listed or counted. Branches of ``SMALL`` classes or fewer have no tree: their pairs are compared by
+bitmaps. Branches of many classes are split by size bands (similar sizes are at most one band apart) and those into
+blocks, dealt as block pairs; nothing is capped.
+
+Every table that a step needs is written to the shared folder and deleted once its last reader is written; texts are
+fetched for those classes only that a pair to be compared holds.
 
 Hashes have 64 bits; links are decided on the two texts' own shingle sets. Defined results: A-Z are lower-cased and
 words are runs of anything but space and the controls tab to carriage return; with fewer than five words the whole
@@ -30,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import integer_names, settle
+from .shared import WORD, free, integer_names, settle, unused
 
 WORDS = 5
 #: Bits of a row's signature, rows of a tree's leaf, children of its nodes, rows of a block. Leaves are small, as the OR of many
@@ -38,8 +46,12 @@ WORDS = 5
 BITS, LEAF, FAN, BLOCK = 2048, 2, 4, 4096
 #: Branches of so many rows or less have their row pairs checked at once, without a tree.
 SMALL = 16
-#: Rounds of heads, and the share of a class's prefix that a head must hold.
-HEAD_ROUNDS, HEAD_SHARE = 3, 0.5
+#: Heads of a branch and of a class, and the share of a class's prefix that a head must hold.
+HEADS, HEAD_SHARE = 3, 0.5
+#: A hash is common if more prefixes hold it than a block has rows and than this part of all texts.
+COMMON_PARTS = 20_000
+#: Prefix keys have 63 bits; the first bit is set for common ones, so that keys in ascending order have them last.
+COMMON_BIT = 1 << 63
 # Odd 64-bit numbers (fixed values) that mix the hashes of a shingle's words.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
@@ -72,10 +84,55 @@ def similar(a: int, b: int, both: int) -> bool:
     return 100 * both >= 80 * (a + b - both)
 
 
-def _profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, th (a hash of the text: with the id it finds the row again), n, digest (of the set), prefix, bits."""
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+def prefix_keys(hashes, common, times: int = 1):  # noqa: ANN001, ANN201
+    """The first keys of a set, ``times`` a prefix of them: ascending, as unsigned numbers, with the common ones last."""
+    import numpy as np
+
+    keys = hashes >> np.uint64(1)
+    if len(common):
+        keys = np.where(np.isin(keys, common), keys | np.uint64(COMMON_BIT), keys)
+    return np.sort(keys)[: times * prefix_size(len(hashes))]
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (id and th, a hash of the text: they find the row again) and text."""
+    text = F.col(text_col)
+    return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("th")).alias("row"), text.alias("text"))
+
+
+def _common(docs: DataFrame, text_col: str) -> list[int]:
+    """The keys that are among the first of very many texts. Twice a prefix is counted, as prefixes without them reach further.
+
+    Of all keys counted, at most COMMON_PARTS times the mean prefix can be common; the work stays right whatever is left out.
+    """
+    total = docs.count()
+    least = max(BLOCK, total // COMMON_PARTS)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        none = np.empty(0, np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                keys = [prefix_keys(shingles(t), none, 2) for t in batch.column(0).slice(at, 500).to_pylist()]
+                # equal ones are counted here first: what many texts hold is a few rows
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["s", "n"])
+
+    if total <= least:
+        return []
+    counted = docs.select(F.col(text_col)).mapInArrow(run, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+    often = settle(counted.where(F.col("n") > least), "common")
+    out = [r["s"] for r in often.select("s").orderBy(F.desc("n"), "s").limit(COMMON_PARTS * 10).collect()]
+    free(often)
+    return out
+
+
+def _profiles(docs: DataFrame, id_col: str, text_col: str, common: list[int]) -> DataFrame:
+    """row, n, digest (of the set), prefix (its keys), bits."""
+    rows = _numbered(docs, id_col, text_col)
+    late = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -83,6 +140,7 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        last = np.sort(np.array(late.value, np.int64).view(np.uint64))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -91,26 +149,30 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     s = shingles(text)
                     sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    prefixes.append(s[: prefix_size(len(s))].view(np.int64))
+                    prefixes.append(prefix_keys(s, last).view(np.int64))
                     mask = np.zeros(BITS, np.uint8)
                     mask[(s >> np.uint64(40)) % np.uint64(BITS)] = 1  # not the high bits alone: prefixes have small hashes
                     bits.append(np.packbits(mask).tobytes())
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype("i4")
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), lists, pa.array(bits, pa.binary())], names=["id", "th", "n", "digest", "prefix", "bits"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
+                columns = [part.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), lists, pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "digest", "prefix", "bits"])
 
-    return rows.mapInArrow(run, f"id {kind}, th bigint, n int, digest binary, prefix array<bigint>, bits binary")
+    kind = dict(rows.dtypes)["row"]
+    return rows.mapInArrow(run, f"row {kind}, n int, digest binary, prefix array<bigint>, bits binary")
 
 
-def _heads(shared: DataFrame, number: int) -> DataFrame:
-    """k, head: for each class the class that holds most of its prefix among those first in their branch, by a seeded order."""
-    place = F.xxhash64("k", F.lit(number))
-    first = shared.groupBy("s").agg(F.min(place).alias("place"))
-    head = shared.withColumn("place", place).join(first, ["s", "place"]).groupBy("s").agg(F.min("k").alias("head"), F.min("n").alias("head_n"))
+def _heads(shared: DataFrame) -> DataFrame:
+    """a, b: each class with the few classes that hold most of its prefix, of those first in their branch by seeded orders."""
+    places = {f"place_{i}": F.xxhash64("k", F.lit(i)) for i in range(HEADS)}
+    first = shared.withColumns(places).groupBy("s").agg(*[F.min(p).alias(f"first_{p}") for p in places])
+    leads = F.greatest(*[(F.col(p) == F.col(f"first_{p}")).cast("int") for p in places]) == 1
+    head = shared.withColumns(places).join(first, "s").where(leads).select("s", F.col("k").alias("head"), F.col("n").alias("head_n"))
     votes = shared.join(head, "s").where("k != head AND 5 * n >= 4 * head_n AND 5 * head_n >= 4 * n").groupBy("k", "n", "head").count()
     needed = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
-    best = votes.where(F.col("count") >= needed * HEAD_SHARE).withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("count"), "head")))
-    return best.where("at = 1").select("k", "head")
+    best = votes.where(F.col("count") >= needed * HEAD_SHARE)
+    best = best.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("count"), "head")))
+    return best.where(F.col("at") <= HEADS).select(F.greatest("k", "head").alias("a"), F.least("k", "head").alias("b")).distinct()
 
 
 def tree_pairs(n, bits, group, block, leaf: int = LEAF, fan: int = FAN):  # noqa: ANN001, ANN201
@@ -255,24 +317,56 @@ def _enough_shared(met: DataFrame, classes: DataFrame) -> DataFrame:
     return counted.where(F.col("shared") >= least).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs a, b whose texts (k, text) are similar."""
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs a, b whose texts are similar, settled. rows: row, text; classes: k, row. Texts are fetched for classes in pairs only."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    wanted = classes.select("k", "row").join(ends, "k", "left_semi")
+    texts = settle(rows.join(wanted, "row").dropDuplicates(["row"]).select("k", "text"), "texts")
+    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        last, known = None, None
         for batch in batches:
-            ok, last, sets = [], None, {}
-            for ta, tb in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if tb != last:  # the join leaves equal b together
-                    last, sets["b"] = tb, shingles(tb)
-                a, b = shingles(ta), sets["b"]
-                ok.append(similar(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))))
+            ok = []
+            for ta, tb in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+                ta, tb = ta.as_py(), tb.as_py()  # one at a time: texts may be long
+                if last is None or tb != last:  # the join leaves equal b together
+                    last, known = tb, shingles(tb)
+                a = shingles(ta)
+                ok.append(similar(len(a), len(known), len(np.intersect1d(a, known, assume_unique=True))))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    found = settle(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "links-found")
+    free(texts)
+    return found
+
+
+def _trees(shared: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs a, b that the signature trees leave, of different components, settled. shared: s, k, n; roots: node, root."""
+    rooted = shared.join(roots.withColumnRenamed("node", "k"), "k", "left").select("s", "k", "n", F.coalesce("root", "k").alias("root"))
+    rooted = settle(rooted, "rooted")
+    mixed = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("s")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int")
+    dealt = rooted.join(mixed, "s").withColumn("low", band)
+    dealt = dealt.select("s", "k", "n", "root", "low", F.explode(F.array(F.col("low"), F.col("low") + 1)).alias("band"))
+    dealt = settle(dealt.select("s", "k", "n", "root", "band", (F.col("low") == F.col("band")).cast("int").alias("own")), "dealt")
+    free(rooted)
+    sums = [F.count("*").alias("c"), F.sum("own").alias("owned"), F.min("root").alias("lo"), F.max("root").alias("hi")]
+    filled = dealt.groupBy("s", "band").agg(*sums).where("owned > 0 AND lo != hi")
+    filled = filled.select("s", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    placed = dealt.join(filled, ["s", "band"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    placed = placed.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    first, second = F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")
+    placed = placed.select("s", "band", first, second, "own", "block", "k", "n", "root").join(bits.select("k", "bits"), "k")
+    met = settle(_candidates(placed), "met")
+    free(dealt)
+    pairs = settle(_enough_shared(met, bits), "pairs")
+    free(met)
+    return pairs
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,64 +374,51 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``component`` numbers the components (null without shingles): their ids may be null or repeat, these numbers don't.
     """
-    profiles = settle(_profiles(docs, id_col, text_col), "profiles")
+    rows = _numbered(docs, id_col, text_col)
+    profiles = settle(_profiles(docs, id_col, text_col, _common(docs, text_col)), "profiles")
     some = profiles.where("n > 0")
-    classes = some.groupBy("digest").agg(F.min(F.struct("id", "th")).alias("row"), F.min("n").alias("n"), F.min("id").alias("least"))
+    classes = some.groupBy("digest").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("row.id").alias("least"))
     classes = settle(integer_names(classes, ["digest"], F.xxhash64("digest"), 65536, "k"), "classes")
-    known = classes.select("digest", "k", "row.id", "row.th")
-
-    def own(columns: list) -> DataFrame:
-        """One row of each class, with its number; the shuffles carry these columns only."""
-        part = some.select("id", "th", "digest", "n", *columns)
-        one = part.join(known, (part.digest == known.digest) & (part.th == known.th) & part.id.eqNullSafe(known.id), "left_semi")
-        return one.dropDuplicates(["digest"]).join(classes.select("digest", "k"), "digest")
-
-    rows = own(["prefix"]).select("k", "n", F.explode("prefix").alias("s"))
-    often = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    shared = settle(rows.join(often, "s").select("s", "k", "n"), "shared")
-    bits = settle(own([F.element_at("prefix", -1).alias("top"), "bits"]).select("k", "n", "top", "bits"), "bits")
-
-    met = classes.join(shared.select("k").distinct(), "k", "left_semi").select("k", "row.id", "row.th")
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    texts = texts.join(met.withColumnsRenamed({"id": "rid", "th": "rth"}), (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("rid"))).select("k", "text").dropDuplicates(["k"])
-    texts = settle(texts, "texts")
-
-    tried = None
-    for number in range(HEAD_ROUNDS):
-        heads = _heads(shared, number).select(F.greatest("k", "head").alias("a"), F.least("k", "head").alias("b"))
-        tried = heads if tried is None else tried.unionByName(heads)
-    links = settle(_verified(settle(tried.distinct(), "heads"), texts), "head-links")
-    roots = components(links)
+    # rows of a class have the same set, so any of them will do
+    sets = some.groupBy("digest").agg(F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    sets = settle(sets.join(classes.select("digest", "k", "n"), "digest").select("k", "n", "prefix", "bits"), "sets")
+    members = settle(profiles.select("row", "n", "digest"), "members")
+    free(profiles)
+
+    keys = sets.select("k", F.explode("prefix").alias("s"))
+    often = keys.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
+    shared = settle(keys.join(often, "s").select("s", "k").join(sets.select("k", "n"), "k").select("s", "k", "n"), "shared")
+    met = shared.select("k").distinct()
+    bits = settle(sets.select("k", "n", F.element_at("prefix", -1).alias("top"), "bits").join(met, "k", "left_semi"), "bits")
+    free(sets)
+
+    heads = settle(_heads(shared), "heads")
+    head_links = _verified(heads, rows, classes)
+    roots = components(head_links)
+    pairs = _trees(shared, roots, bits)
+    free(heads, roots, shared, bits)
+    tree_links = _verified(pairs, rows, classes)
+    roots = components(head_links.unionByName(tree_links))
+    free(pairs, head_links, tree_links)
 
-    rooted = shared.join(roots.withColumnRenamed("node", "k"), "k", "left").select("s", "k", "n", F.coalesce("root", "k").alias("root"))
-    rooted = settle(rooted, "rooted")
-    mixed = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("s")
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int")
-    dealt = rooted.join(mixed, "s").withColumn("low", band).select("s", "k", "n", "root", "low", F.explode(F.array(F.col("low"), F.col("low") + 1)).alias("band"))
-    dealt = dealt.select("s", "k", "n", "root", "band", (F.col("low") == F.col("band")).cast("int").alias("own"))
-    filled = dealt.groupBy("s", "band").agg(F.count("*").alias("c"), F.sum("own").alias("owned"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    filled = filled.where("owned > 0 AND lo != hi").select("s", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.join(filled, ["s", "band"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("s", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "own", "block", "k", "n", "root").join(bits.select("k", "bits"), "k")
-    pairs = settle(_enough_shared(_candidates(dealt), bits), "pairs")
-    links = settle(links.unionByName(_verified(pairs, texts)), "all-links")
-
-    roots = components(links)
     least = classes.join(roots.withColumnRenamed("node", "k"), "k", "left").select("digest", "least", F.coalesce("root", "k").alias("root"))
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = least.join(ids, "root").select("digest", "component_id", F.col("root").alias("component"))
-    out = some.select("id", "th", "n", "digest").join(named, "digest").select("id", "th", "n", "component_id", "component")
-    out = out.unionByName(profiles.where("n = 0").select("id", "th", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component")))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", "th", "component")
+    out = members.where("n > 0").join(named, "digest").select("row", "n", "component_id", "component")
+    alone = members.where("n = 0").select("row", "n", F.col("row.id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    out = out.unionByName(alone)
+    return out.select(F.col("row.id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", "row.th", "component")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component, with all their columns; rows without shingles all stay."""
-    found = similar_texts(docs, id_col, text_col)
-    stay = found.where((F.col("n_shingles") == 0) | F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), F.col("th").alias("_th"), F.col("component").alias("_component")).distinct()
-    rows = docs.withColumn("_own", F.xxhash64(F.col(text_col)))
-    kept = rows.join(stay, (F.col("_own") == F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    # an id may repeat within a component, and be null or repeat in others: one row stays for each component
-    once = kept.where("_component IS NOT NULL").dropDuplicates(["_component"]).select(*docs.columns)
-    return once.unionByName(kept.where("_component IS NULL").select(*docs.columns))
+    """The rows of ``docs`` that stand for their component, with all their columns; rows without shingles all stay.
+
+    An id may repeat within a component, and be null or repeat in others: one row stays for each component.
+    """
+    found = similar_texts(docs, id_col, text_col).where("component IS NOT NULL AND " + f"`{id_col}` <=> component_id")
+    row, stays = unused(docs.columns, "row", "stays")
+    stay = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).alias("id"), "th")).alias(stays)).select(stays)
+    has_words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    worded = docs.where(has_words).withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")))
+    kept = worded.join(stay, F.col(row) == F.col(stays), "left_semi").dropDuplicates([row])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~has_words))
