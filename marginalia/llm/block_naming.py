@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import integer_names, settle
+from .shared import free, integer_names, settle, unused
 
 BLOCK_BYTES = 16384
 #: Buckets of names. Each is sorted on its own, so a bucket is what one task must be able to sort.
@@ -44,7 +44,7 @@ def _named_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
-    """id, sha (of the text), copies (rows alike in both), round, name: the last two are the text's identity."""
+    """id, sha (of the text), copies (rows alike in both), round, name: the last two are the text's identity. A settled table."""
     blocks = _blocks(docs, id_col, text_col, block_bytes)
     names = settle(_named_blocks(blocks, buckets), "block-names")
     lone, contested = names.where("block IS NULL").select("h", "name"), names.where("block IS NOT NULL")
@@ -52,6 +52,8 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not contested.isEmpty():
         rows = rows.unionByName(blocks.join(contested, ["h", "block"]).select("id", "sha", "n", "pos", "name"))
     rows = settle(rows, "named-rows")
+    free(names)
+    used = [rows]
     done = rows.where("n = 1").groupBy("id", "sha", "name").agg(F.count("*").alias("copies")).withColumn("round", F.lit(0))
     live = rows.where("n > 1").groupBy("id", "sha", "n", "pos").agg(F.first("name").alias("name"), F.count("*").alias("copies"))
     longest = rows.agg(F.max("n")).first()[0] or 1
@@ -66,9 +68,13 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named = integer_names(pairs.select("left", "right").distinct(), ["left", "right"], F.xxhash64("left", "right"), buckets)
         joined = pairs.join(named, ["left", "right"]).select("id", "sha", F.ceil(F.col("n") / 2).cast("int").alias("n"), "pos", "copies", "name")
         joined = settle(joined, "round")
+        free(pairs)
+        used.append(joined)
         done = done.unionByName(joined.where("n = 1").select("id", "sha", "name", "copies", F.lit(level).alias("round")))
         live, longest = joined.where("n > 1"), (longest + 1) // 2
-    return done
+    identities = settle(done, "identities")
+    free(*used)
+    return identities
 
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
@@ -84,7 +90,11 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
     """The rows of ``docs`` without copies, with all their columns."""
-    stay = exact_copies(docs, id_col, text_col, block_bytes, buckets).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_own_sha", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
-    kept = own.join(stay, (F.col("_own_sha") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_own_sha"]).drop("_own_sha")
+    copies = exact_copies(docs, id_col, text_col, block_bytes, buckets).where("kept")
+    row, stays = unused(docs.columns, "row", "stays")
+    stay = copies.select(F.struct(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).alias(stays))
+    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    own = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), sha.alias("sha")))
+    # rows alike in id and text are next to each other after the join: texts are shuffled once
+    kept = own.join(stay, F.col(row) == F.col(stays), "left_semi").dropDuplicates([row])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

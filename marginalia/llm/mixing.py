@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import WORD, settle
+from .shared import WORD, free, settle, unused
 
 LEVELS = ("domain", "lang", "source")
 
@@ -83,18 +83,27 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], fil
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rounds").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     rows = named.join(budgets, list(LEVELS)).withColumn("place", place).withColumn("span", F.substring("place", 1, 3))
     rows = settle(rows, "mix-placed")
+    free(named, budgets)
     spans = rows.groupBy(*LEVELS, "span").agg(F.sum("tokens").alias("span_tokens"))
     ahead = Window.partitionBy(*LEVELS).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select(*LEVELS, "span", F.coalesce(F.sum("span_tokens").over(ahead), F.lit(0)).alias("ahead"))
     within = Window.partitionBy(*LEVELS, "span").orderBy("place", "id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(spans, [*LEVELS, "span"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+    passed = F.col("ahead") + F.coalesce(F.sum("tokens").over(within), F.lit(0))
+    found = rows.join(spans, [*LEVELS, "span"]).withColumn("before", passed)
     copies = F.col("rounds") + F.when(F.col("before") < F.col("left"), 1).otherwise(0)
-    return rows.select(F.col("id").alias(id_col), *LEVELS, "tokens", "budget", copies.cast("long").alias("copies"), "th")
+    found = found.select(F.col("id").alias(id_col), *LEVELS, "tokens", "budget", copies.cast("long").alias("copies"), "th")
+    mixed = settle(found, "mix")
+    free(rows)
+    return mixed
 
 
 def take(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], fill: tuple[int, int] = (1, 2), epochs: int = 1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the mix, each as often as it is taken, with all columns of ``docs``."""
-    chosen = mix(docs, domain, weights, fill, epochs, seed, id_col, text_col).groupBy(F.col(id_col).alias("_id"), F.col("th").alias("_th")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_own", F.xxhash64(F.col(text_col))).join(chosen, (F.col("_own") == F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    once = rows.dropDuplicates([id_col, "_own"])
-    return once.select(*docs.columns, F.explode(F.expr("sequence(1L, _copies)")).alias("_nth")).drop("_nth")
+    row, taken, copies, nth = unused(docs.columns, "row", "taken", "copies", "nth")
+    chosen = mix(docs, domain, weights, fill, epochs, seed, id_col, text_col)
+    chosen = chosen.groupBy(F.struct(F.col(id_col).alias("id"), "th").alias(taken)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    own = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th")))
+    # rows alike in id and text share their copies; the join has put them next to each other
+    once = own.join(chosen, F.col(row) == F.col(taken)).dropDuplicates([row])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(*columns, F.explode(F.expr(f"sequence(1L, `{copies}`)")).alias(nth)).select(*columns)
