@@ -35,6 +35,8 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Entries in each of the two generations of a task's two memories (pieces; whatever stands between spaces), and the longest kept.
 KEPT, KEPT_CHARS = 300_000, 48
+#: Token pairs whose compatibility is remembered; when there are so many, a task forgets them and starts anew.
+PAIRS_KEPT = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -99,6 +101,8 @@ class PrefixEncoder:
         """Whether tokens a and b, side by side, stay as they are."""
         known = self.fits.get((a, b))
         if known is None:
+            if len(self.fits) >= PAIRS_KEPT:
+                self.fits.clear()
             known = self.fits[a, b] = self._border_holds(a, b)
         return known
 

@@ -8,8 +8,9 @@ moves the words' weights along the gradient; a shrinking threshold keeps weights
 Scoring needs only the words left (a lexicon of bounded size), and the sentences with the highest
 probabilities are the offending ones.
 
-The classifier is fitted on a bounded sample of labelled rows (``rows`` of them: the ones whose hash of the id is
-smallest, so the sample doesn't depend on order or partitions); rows held out are never in it. Everything is scored.
+The classifier is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS`` of them, and as many in that order as
+``SAMPLE_BYTES`` of text hold: the ones whose hash of the id is smallest, so the sample doesn't depend on order or
+partitions); rows held out are never in it. Everything is scored.
 
 Defined results: a null text counts as empty; an empty text has the leak's probability. Labels that are null are not
 learned from. Rows are independent: repeated rows repeat, extra columns are ignored. With no labelled rows at all, or
@@ -25,12 +26,14 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_columns
+from .shared import free, map_columns, settle, unused
 
 SENTENCE_END = re.compile(r"(?<=[.!?…。])[\s]+|\n+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that are learned from, and entries that the lexicon may hold.
 SAMPLE_ROWS, LEXICON_SIZE = 4000, 2000
+#: Bytes of text that the sample may have in all, as the driver learns from it. Texts are whole or left out.
+SAMPLE_BYTES = 64_000_000
 #: Lengths of a word's beginnings that count beside the whole word; longer words than WORD_CHARS count by those alone.
 STARTS, WORD_CHARS = (4, 5, 6, 7), 24
 #: An entry must tell the labels apart by this much (twice the log likelihood ratio) and be so many times as frequent in toxic documents.
@@ -96,6 +99,19 @@ class Scorer:
         return [(text if len(low) == len(text) else low)[a : where[a]] for a, p in sorted(self.told(text).items()) if p >= least]
 
 
+def blame(z, doc_of, labels, leak: float):  # noqa: ANN001, ANN201
+    """Of sentences with log odds ``z``: their probabilities, the documents' (by noisy-or with the leak), and the gradients of the
+    log likelihood of the labels by each sentence's and by each document's leak's log odds: the share of the blame less the probability."""
+    import numpy as np
+
+    p = 1 / (1 + np.exp(-z))
+    q = 1 / (1 + math.exp(-leak))
+    keep = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(labels)) + math.log1p(-q)
+    whole = np.clip(-np.expm1(keep), 1e-9, 1 - 1e-9)
+    share = labels / whole
+    return p, whole, (share[doc_of] - 1) * p, (share - 1) * q
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 3.0, shrink: float = 0.0015) -> Scorer:
     """Learn a scorer from documents' labels, on the driver; the cost is bounded by the sample."""
     import numpy as np
@@ -133,19 +149,14 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 3.0
     seen = np.bincount(c, minlength=len(lexicon)).astype(float)
     for step in range(rounds):
         z = np.clip(bias + np.bincount(r, w[c], minlength=len(d)), -30, 30)
-        p = 1 / (1 + np.exp(-z))
+        p, whole, g, leak_pull = blame(z, d, y, leak)
         q = 1 / (1 + math.exp(-leak))
-        keep = np.bincount(d, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)) + math.log1p(-q)
-        whole = np.clip(-np.expm1(keep), 1e-9, 1 - 1e-9)
-        # the gradient of the log likelihood with respect to a sentence's log odds: its share of the blame less its probability
-        blame = y / whole
-        g = (blame[d] - 1) * p
         pull = np.bincount(c, g[r], minlength=len(lexicon)) / (seen + 5)
         w = w + rate * pull
         w = np.maximum(w - rate * shrink * 20 / (seen + 5), 0)  # an entry may speak for toxicity or be silent
         bias += 0.2 * float(np.clip(g.sum() / max(1.0, (1 - whole[d]).sum() + p.sum()), -1, 1))
         bias = min(bias, -2.5)
-        leak += 0.5 * float(((blame - 1) * q).sum() / len(y) / max(q * (1 - q), 1e-3))
+        leak += 0.5 * float(leak_pull.sum() / len(y) / max(q * (1 - q), 1e-3))
         leak = min(leak, -1.5)
     kept = {lexicon[k]: float(w[k]) for k in np.nonzero(w > 0.2)[0]}
     return Scorer(kept, bias, leak)
@@ -155,14 +166,29 @@ def held_out(id_col: str, folds: int = 5):  # noqa: ANN201
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Scorer:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold; the texts are whole."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    some = known.orderBy(F.crc32(F.concat(F.lit("sample"), F.col(id_col).cast("string")).cast("binary")), id_col).limit(rows)
-    # the sample's ids are few, whatever the corpus, so they go to the documents
-    pairs = docs.join(F.broadcast(some), id_col).select(F.coalesce(text_col, F.lit("")).alias("text"), F.col("_y").cast("int").alias("y"), F.col(id_col).alias("i"))
-    # an id may repeat: the sample's bound holds for texts as well
-    got = pairs.groupBy("i").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("i").collect()
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES,
+) -> Scorer:
+    """Fit on at most ``rows`` labelled documents of at most ``most_bytes`` outside the held-out fold; the texts are whole."""
+    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+    known = known.where(F.col("i").isNotNull() & F.col("y").isNotNull() & ~held_out("i")).groupBy("i").agg(F.max("y").alias("y"))
+    some = known.withColumn("place", F.crc32(F.concat(F.lit("sample"), F.col("i").cast("string")).cast("binary"))).orderBy("place", "i").limit(rows)
+    texts = docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("text"))
+    # the sample's ids are few, whatever the corpus, so they go to the documents; an id may repeat, then its least text counts
+    pairs = texts.join(F.broadcast(some), "i").groupBy("i", "place", "y").agg(F.min("text").alias("text"))
+    pairs = settle(pairs.withColumn("size", F.octet_length("text")), "sample")
+    total, last = 0, None
+    for r in pairs.select("place", "i", "size").orderBy("place", "i").collect():
+        total += r["size"]
+        if total > most_bytes:
+            break
+        last = r
+    got = []
+    if last is not None:
+        within = (F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("i") <= last["i"]))
+        got = pairs.where(within).orderBy("i").select("text", "y").collect()
+    free(pairs)
     return fit([g["text"] for g in got], [g["y"] for g in got])
 
 
@@ -183,9 +209,10 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
         return work
 
-    rows = docs.select(F.col(id_col), F.coalesce(held_out(id_col), F.lit(False)).alias("_held"), F.col(text_col))
+    (held,) = unused([id_col, text_col], "held")
+    rows = docs.select(F.col(id_col), F.coalesce(held_out(id_col), F.lit(False)).alias(held), F.col(text_col))
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, held_out boolean, score double, predicted int, n_offending int, worst string"
-    return map_columns(rows, start, schema, [id_col, "_held", text_col])
+    return map_columns(rows, start, schema, [id_col, held, text_col])
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
