@@ -10,8 +10,9 @@ The trees are trained when first used, on candidates built here with seeded choi
 
 Defined results: a null text counts as empty and has no spans. Positions are code points, ends exclusive. Spans of one
 kind don't overlap; a card is no phone, and added spans never touch base spans of any kind. Rows are independent:
-repeated rows repeat, extra columns are ignored. Time is proportional to a text's length: matches are found from
-"@", "+" and digits outward and never retried from each position.
+repeated rows repeat, extra columns are ignored. Matches are found from "@", "+" and digits outward and never retried from
+each position, and whether a proposal touches a span is looked up in their order, so time grows with a text's length as
+sorting does.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -109,6 +111,7 @@ def features(text: str, span: Span) -> list[float]:
     s = text[a:b]
     digits = [c for c in s if c.isdigit()]
     groups = re.findall(r"[0-9]+", s)
+    parts = re.findall(r"[A-Za-z0-9-]+", s)
     before = [CUE_OF.get(w.lower()) for w in WORD.findall(text[max(0, a - 40) : a])[-4:]]
     after = [CUE_OF.get(w.lower()) for w in WORD.findall(text[b : b + 20])[:2]]
     return [
@@ -118,6 +121,8 @@ def features(text: str, span: Span) -> list[float]:
         float(before.count(kind)), float(before.count("other")), float(after.count(kind)), float(sum(c is not None and c not in (kind, "other") for c in before)),
         float(len(s) - len(digits)), float(":" in s), float(bool(re.search(r"(?i)dot", s))), float(groups[0][:2] in ("34", "37", "19", "20") if groups else 0),
         float(before[-1:] == [kind]), float(before[-1:] == ["other"]), float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0),
+        float(sum(c.isspace() for c in s)), float(len(parts[-1]) if parts else 0), float(any(c.isalpha() for c in s)),
+        float(max(map(len, parts), default=0)), float(len(parts[0]) if parts else 0), float(". " in s or " ." in s),
     ]
 
 
@@ -157,12 +162,18 @@ def _labelled(n: int, rng: random.Random) -> tuple[list[list[float]], list[int],
         good, kind = rng.random() < 0.5, rng.choice(KINDS)
         cue = rng.choice(CUES[kind if good else "other"]) if rng.random() < 0.8 else ""
         if kind == "email":
-            at, dot = rng.choice(["[at]", "(at)", " [at] ", " (at) "]), rng.choice([".", " [dot] ", "(dot)"])
-            value = f"{rng.choice(['j.doe', 'mara', 'info7', 'tom_k'])}{at}{rng.choice(['mail', 'site', 'host-1'])}{dot}{rng.choice(['com', 'org', 'de'])}"
-            good, cue = True, cue if good else ""
+            if good:
+                at, dot = rng.choice(["[at]", "(at)", " [at] ", " (at) ", " {at} ", "[AT]"]), rng.choice([".", " [dot] ", "(dot)", "(DOT)"])
+                value = f"{rng.choice(['j.doe', 'mara', 'info7', 'tom_k', filler().split()[0]])}{at}{rng.choice(['mail', 'site', 'host-1', filler().split()[0]])}{dot}{rng.choice(['com', 'org', 'de', 'co.uk', 'net'])}"
+            else:  # a remark in brackets within a sentence that ends soon after, or a rate
+                a, b, c = filler().split()[0], filler().split()[0], rng.choice([*filler().split(), "is", "the", "it"])
+                value = rng.choice([f"{a} (at) {b} . {c}", f"{a} (at) {b}. {c}", f"{a} [at] {b} . {c}", f"{a} (at) {rng.randint(1, 99)}.{rng.randint(10, 99)}", f"{a} <at> {rng.randint(1, 9)}.{rng.randint(1, 9)}"])
         elif kind == "ip":
-            value = ":".join("".join(rng.choice("0123456789abcdef") for _ in range(4)) for _ in range(8))
-            good = True
+            if good:
+                value = ":".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([4, 4, 4, rng.randint(1, 4)]))) for _ in range(8))
+            else:  # an eight-byte hardware address, or fields of digits
+                size = rng.choice([2, 2, 1, 3])
+                value = ":".join("".join(rng.choice(rng.choice(["0123456789abcdef", "0123456789"])) for _ in range(size)) for _ in range(8))
         elif kind == "card":
             value = card(15, rng.choice(["34", "37"])) if good else "".join(number(rng.choice([13, 14, 15])))
             value = f"{value[:4]} {value[4:10]} {value[10:]}"
@@ -233,9 +244,20 @@ def all_spans(text: str, base: list[Span], trees: Trees) -> list[Span]:
     """The base spans and those the trees add, by kind as listed, then by start."""
     scored = [(s, span) for span in candidates(text) if (s := trees.accepts(text, span)) is not None]
     taken = list(base)
+    starts: list[int] = []
+    ends: list[int] = []  # of the stretches that spans cover, which don't overlap, in order
+    for _, a, b in sorted(base, key=lambda x: x[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for _, span in sorted(scored, key=lambda x: (-x[0], x[1][1], x[1][0])):
-        if all(span[2] <= a or span[1] >= b for _, a, b in taken):
+        at = bisect_left(starts, span[2])  # stretches before this one start before the span ends
+        if not at or ends[at - 1] <= span[1]:
             taken.append(span)
+            starts.insert(at, span[1])
+            ends.insert(at, span[2])
     return sorted(taken, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
