@@ -8,7 +8,8 @@ the first ``depth`` slots are the rules that hold at a point.
 
 Two sweeps: distinct hosts against rule hosts, then (rule host, path) against that host's path prefixes. Hosts are
 counted before anything moves, so a hot host is one row in the first sweep. Points of a hot group are dealt over as
-many salts as they need, and only that group's rules are copied to each salt.
+many salts as they need, and only that group's rules are copied to each salt; rows are dealt out by group and salt, as
+otherwise a join on the group before would have left all salts of a group in one task.
 
 Defined results: a url that is null or has no "://" has an empty host and path and gets the default verdict; so does
 a host that no rule covers. Rules that are null in host, path or verdict are ignored; of rules with the same host and
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import settle
+from .shared import free, settle
 
 #: A group's points are split so that one task sorts about this many of them.
 POINTS_A_GROUP = 200_000
@@ -46,18 +47,26 @@ def _sweep(points: DataFrame, rules: DataFrame, keep: list[str], per_group: int)
     near = points.join(groups, "group", "left_semi")
     ways = near.groupBy("group").agg(F.ceil(F.count("*") / F.lit(per_group)).cast("int").alias("ways"))
     opened = rules.join(ways, "group").select("group", F.explode(F.expr("sequence(0, ways - 1)")).alias("salt"), "key", "rule")
-    spaced = {c: F.lit(None).cast(points.schema[c].dataType) for c in keep}
-    blank = F.lit(None).cast(rules.schema["rule"].dataType)
-    starts = opened.select("group", "salt", "key", F.lit(0).alias("kind"), F.lit(1).alias("step"), "rule", *[v.alias(k) for k, v in spaced.items()])
-    ends = opened.select("group", "salt", F.concat("key", F.lit(b"\xff")).alias("key"), F.lit(2).alias("kind"), F.lit(-1).alias("step"), blank.alias("rule"), *[v.alias(k) for k, v in spaced.items()])
-    dealt = near.join(ways, "group").select("group", F.pmod(F.xxhash64(*keep), F.col("ways")).cast("int").alias("salt"), "key", F.lit(1).alias("kind"), F.lit(0).alias("step"), blank.alias("rule"), *keep)
-    order = Window.partitionBy("group", "salt").orderBy("key", "kind")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    alone = rules.select("group", "key", F.lit(0).alias("kind"), F.lit(1).alias("step")).unionByName(rules.select("group", F.concat("key", F.lit(b"\xff")).alias("key"), F.lit(2).alias("kind"), F.lit(-1).alias("step")))
-    deepest = alone.withColumn("depth", F.sum("step").over(Window.partitionBy("group").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))).agg(F.max("depth")).first()[0] or 1
-    at = starts.unionByName(ends).unionByName(dealt).withColumn("depth", F.sum("step").over(running))
-    slots = [F.last(F.when((F.col("kind") == 0) & (F.col("depth") == k), F.col("rule")), ignorenulls=True).over(running) for k in range(1, deepest + 1)]
-    return at.withColumn("stack", F.array(*slots)).where("kind = 1 AND depth > 0").select(*keep, F.expr("slice(stack, 1, int(depth))").alias("stack"))
+    spaced = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in keep]
+    blank = F.lit(None).cast(rules.schema["rule"].dataType).alias("rule")
+    closing = F.concat("key", F.lit(b"\xff")).alias("key")
+    kind, step = "kind", "step"
+    starts = opened.select("group", "salt", "key", F.lit(0).alias(kind), F.lit(1).alias(step), "rule", *spaced)
+    ends = opened.select("group", "salt", closing, F.lit(2).alias(kind), F.lit(-1).alias(step), blank, *spaced)
+    salt = F.pmod(F.xxhash64(*keep), F.col("ways")).cast("int").alias("salt")
+    dealt = near.join(ways, "group").select("group", salt, "key", F.lit(1).alias(kind), F.lit(0).alias(step), blank, *keep)
+
+    alone = rules.select("group", "key", F.lit(0).alias(kind), F.lit(1).alias(step))
+    alone = alone.unionByName(rules.select("group", closing, F.lit(2).alias(kind), F.lit(-1).alias(step)))
+    nested = Window.partitionBy("group").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    deepest = alone.withColumn("depth", F.sum("step").over(nested)).agg(F.max("depth")).first()[0] or 1
+
+    running = Window.partitionBy("group", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = starts.unionByName(ends).unionByName(dealt).repartition("group", "salt").withColumn("depth", F.sum("step").over(running))
+    opening = lambda k: F.when((F.col("kind") == 0) & (F.col("depth") == k), F.col("rule"))
+    slots = [F.last(opening(k), ignorenulls=True).over(running) for k in range(1, deepest + 1)]
+    at = at.withColumn("stack", F.array(*slots)).where("kind = 1 AND depth > 0")
+    return at.select(*keep, F.expr("slice(stack, 1, int(depth))").alias("stack"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow", per_group: int = POINTS_A_GROUP) -> DataFrame:
@@ -77,10 +86,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: t
     rule_hosts = rule_hosts.select(F.when(wide, F.concat(F.substring_index(F.col("key").cast("string"), ".", 1), F.lit("."))).otherwise(of(F.col("key"))).alias("group"), "key", F.col("host").alias("rule"))
     hosts = urls.groupBy("host").agg(F.count("*").alias("paths")).withColumn("key", host_key(F.col("host")))
     first = F.concat(F.substring_index(F.col("key").cast("string"), ".", 1), F.lit("."))
-    hosts = hosts.select("host", "key", F.explode(F.array(first, of(F.col("key")))).alias("group")).distinct()
-    held = _sweep(hosts, rule_hosts, ["host"], per_group).select("host", F.explode("stack").alias("group"))
-    probes = urls.join(held, "host").select("group", F.col("path").cast("binary").alias("key"), "host", "path")
-    prefixes = rules.select(F.col("host").alias("group"), F.col("path").cast("binary").alias("key"), F.struct(F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "verdict").alias("rule"))
+    hosts = settle(hosts.select("host", "key", F.explode(F.array(first, of(F.col("key")))).alias("group")).distinct(), "hosts")
+    held = settle(_sweep(hosts, rule_hosts, ["host"], per_group).select("host", F.explode("stack").alias("group")), "held")
+    probes = settle(urls.join(held, "host").select("group", F.col("path").cast("binary").alias("key"), "host", "path"), "probes")
+    size = F.length(F.concat("host", "path")).alias("size")
+    rule = F.struct(size, F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "verdict").alias("rule")
+    prefixes = rules.select(F.col("host").alias("group"), F.col("path").cast("binary").alias("key"), rule)
     won = _sweep(probes, prefixes, ["host", "path"], per_group).groupBy("host", "path").agg(F.max(F.element_at("stack", -1)).alias("won"))
+    won = settle(won, "won")
+    free(urls, hosts, held, probes)
     out = rows.join(won, ["host", "path"], "left")
     return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
