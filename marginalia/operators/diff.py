@@ -101,8 +101,13 @@ def relocate(wanted: DataFrame, sections: DataFrame) -> DataFrame:
 
     Best first: same place and hash, same hash, same heading, same place; ties by index.
     """
-    w = wanted.select("doc_id", F.col("idx"), F.col("section_hash").alias("h"), F.col("heading").alias("g"))
-    near = w.join(sections.select("doc_id", F.col("idx").alias("now_idx"), F.col("section_hash").alias("nh"), F.col("heading").alias("ng")), "doc_id")
-    rank = F.when((F.col("nh") == F.col("h")) & (F.col("now_idx") == F.col("idx")), 0).when(F.col("nh") == F.col("h"), 1).when(F.col("ng") == F.col("g"), 2).when(F.col("now_idx") == F.col("idx"), 3)
-    best = near.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("doc_id", "idx").agg(F.min(F.struct("rank", "now_idx")).alias("best"))
-    return best.select("doc_id", "idx", F.col("best.now_idx").alias("now_idx"))
+    # of the sections that answer to a hash or a heading the first counts, so each side is one row a key
+    by_place = sections.groupBy("doc_id", "idx").agg(F.max("section_hash").alias("there"), F.count("*").alias("here"))
+    by_hash = sections.groupBy("doc_id", "section_hash").agg(F.min("idx").alias("hash_idx"))
+    by_heading = sections.groupBy("doc_id", "heading").agg(F.min("idx").alias("heading_idx"))
+    near = wanted.select("doc_id", "idx", "section_hash", "heading").join(by_place, ["doc_id", "idx"], "left")
+    near = near.join(by_hash, ["doc_id", "section_hash"], "left").join(by_heading, ["doc_id", "heading"], "left")
+    stays = F.when(F.col("there") == F.col("section_hash"), F.col("idx"))
+    place = F.when(F.col("here") > 0, F.col("idx"))
+    found = near.select("doc_id", "idx", F.coalesce(stays, "hash_idx", "heading_idx", place).alias("now_idx"))
+    return found.where("now_idx IS NOT NULL")

@@ -13,9 +13,21 @@ def seeded_key(seed: int, id_col: str) -> Column:
 
 
 def seeded_order(questions: DataFrame, seed: int, id_col: str, by: str | None = None) -> DataFrame:
-    """questions with position, from 0, in the seed's order (of each ``by``)."""
-    w = Window.partitionBy(by if by else F.lit(0)).orderBy(seeded_key(seed, id_col), id_col)
-    return questions.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+    """questions with position, from 0, in the seed's order (of each ``by``).
+
+    Rows are sorted in ranges of the key; the ranges' sizes add up to where each starts, so no task sorts all questions.
+    """
+    own = [by] if by else []
+    keyed = questions.withColumn("_key", seeded_key(seed, id_col)).withColumn("_range", F.substring("_key", 1, 3))
+    sizes = keyed.groupBy(*own, "_range").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*(own or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of 4096 ranges
+    starts = sizes.select(*[F.col(c).alias(f"_{c}") for c in own], F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    same = F.col("_range") == F.col("_of")
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    within = F.row_number().over(Window.partitionBy(*own, "_range").orderBy("_key", id_col))
+    placed = keyed.withColumn("_within", within).join(starts, same)
+    return placed.select(*questions.columns, (F.col("_start") + F.col("_within") - 1).cast("long").alias("position"))
 
 
 def split(questions: DataFrame, seed: int, id_col: str, by: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 An index is a postings table (section_id, col, pos, token) and a table of lengths; a query is rows of phrases. One plan
 scores all queries: phrases join postings on the token, occurrences are counted per section, and the score follows from
-counts. The queries' side is small and Catalyst sees its size; the text itself is joined to winners only.
+counts. If the queries have few words, these reach the scan of the postings, which lie in order of their tokens; the text
+itself is joined to winners only.
 """
 
 from __future__ import annotations
@@ -52,12 +53,28 @@ def phrases(queries: DataFrame, text_col: str = "query") -> DataFrame:
     return each.select("query_id", "phrase", "offset", "token", (F.col("star") & (F.col("offset") == F.col("n_tokens") - 1)).alias("prefix"), "n_tokens", "n_phrases")
 
 
+#: Distinct words of all queries up to which they are written into the filter of the scan.
+MOST_LITERALS = 2000
+
+
 def phrase_hits(index: DataFrame, asked: DataFrame) -> DataFrame:
     """query_id, phrase, n_phrases, section_id, col, occurrences."""
     whole = asked.where("NOT prefix")
-    begun = asked.where("prefix")
-    words = index.select("token").distinct().join(begun.withColumnRenamed("token", "start"), F.col("token").startswith(F.col("start"))).select(*whole.columns)
-    wanted = whole.unionByName(words)
+    few = asked.select("token", "prefix").distinct().limit(MOST_LITERALS + 1).collect()
+    if len(few) <= MOST_LITERALS:
+        some = F.col("token").isin([r["token"] for r in few if not r["prefix"]])
+        for r in few:
+            some = some | F.col("token").startswith(r["token"]) if r["prefix"] else some
+        index = index.where(some)
+    wanted = whole
+    if len(few) > MOST_LITERALS or any(r["prefix"] for r in few):
+        # an equi-join: each word of the index by its beginnings, no longer than the longest asked for
+        begun = asked.where("prefix").withColumnRenamed("token", "start")
+        longest = begun.agg(F.coalesce(F.max(F.length("start")), F.lit(0)).alias("longest"))
+        starts = index.select("token").distinct().crossJoin(F.broadcast(longest))  # one row
+        sizes = F.expr("sequence(1, least(length(token), longest))")
+        starts = starts.where("longest > 0").select("token", F.explode(F.transform(sizes, lambda n: F.substring(F.col("token"), F.lit(1), n))).alias("start"))
+        wanted = whole.unionByName(starts.join(begun, "start").select(*whole.columns))
     met = index.join(wanted, "token").select("query_id", "phrase", "n_phrases", "n_tokens", "section_id", "col", (F.col("pos") - F.col("offset")).alias("start"))
     key = ["query_id", "phrase", "n_phrases", "section_id", "col"]
     single = met.where("n_tokens = 1").groupBy(*key).agg(F.count("*").alias("occurrences"))
@@ -89,7 +106,8 @@ def all_terms(scored: DataFrame) -> DataFrame:
 def any_if_none(scored: DataFrame, eligible: Column | None = None) -> DataFrame:
     """Hits that meet all phrases; for queries without an eligible one, hits that meet any. Adds the flag partial."""
     full = (F.col("matched") == F.col("n_phrases")) & (F.lit(True) if eligible is None else eligible)
-    seen = scored.withColumn("some", F.max(full.cast("int")).over(Window.partitionBy("query_id")) == 1)
+    some = scored.groupBy("query_id").agg((F.max(full.cast("int")) == 1).alias("some"))  # a query may match much of the corpus
+    seen = scored.join(some, "query_id")
     return seen.where("(some AND matched = n_phrases) OR NOT some").withColumn("partial", ~F.col("some")).drop("some")
 
 
@@ -114,13 +132,25 @@ def normalise(vector: Column) -> Column:
     return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(vector)
 
 
+#: Queries up to which all are sent to every task, and vectors that one task compares with all queries beyond that.
+FEW_QUERIES, VECTORS_A_SALT = 1000, 20_000
+
+
 def vector_hits(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """vectors: id, vector; asked: query_id, vector -> query_id, id, cosine, rank (from 0) of the k nearest.
 
-    Every query meets every vector: queries are a stated, small set, sent to the vectors in blocks by Spark's own choice.
-    Vectors of another length are skipped. A window's group limit cuts each task's rows to k before the shuffle.
+    Every query meets every vector: up to ``FEW_QUERIES`` queries are sent to all vectors; more are copied to as many salts as
+    the vectors need, so that no task holds all vectors of one length. Vectors of another length are skipped. A window's group
+    limit cuts each task's rows to k before the shuffle.
     """
-    pairs = vectors.join(asked.withColumnRenamed("vector", "wanted"), F.size("vector") == F.size("wanted"))
+    wanted = asked.withColumnRenamed("vector", "wanted")
+    if asked.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
+        pairs = vectors.join(F.broadcast(wanted), F.size("vector") == F.size("wanted"))
+    else:
+        salts = max(1, vectors.count() // VECTORS_A_SALT)
+        dealt = vectors.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        copies = wanted.withColumn("salt", F.explode(F.expr(f"sequence(0, {salts - 1})")))
+        pairs = dealt.join(copies, (F.size("vector") == F.size("wanted")) & (dealt["salt"] == copies["salt"]))
     scored = pairs.select("query_id", "id", F.round(dot(F.col("vector"), F.col("wanted")), 6).alias("cosine"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")) - 1
     return scored.withColumn("rank", place).where(F.col("rank") < k)

@@ -134,7 +134,7 @@ def _pair_sql() -> str:
 
 
 ORACLES = {
-    "adaptive_depth": """WITH l AS (SELECT user_id AS q, event_id % 12 AS page, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) - 1 AS rank FROM events WHERE user_id < 20), b AS (SELECT q, page, min(rank) AS r FROM l GROUP BY ALL), s AS (SELECT q, max(rank) AS last FROM l GROUP BY 1)
+    "adaptive_depth": """WITH l AS (SELECT user_id AS q, event_id % 12 AS page, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) - 1 AS rank FROM events), b AS (SELECT q, page, min(rank) AS r FROM l GROUP BY ALL), s AS (SELECT q, max(rank) AS last FROM l GROUP BY 1)
       SELECT q AS query_id, coalesce(min(CASE WHEN n >= 10 OR last < d THEN d END), 16)::INT AS depth FROM (SELECT q, d, count(*) FILTER (r < d) AS n, any_value(last) AS last FROM b JOIN s USING (q), (SELECT unnest([1, 2, 4, 8, 16]) AS d) GROUP BY q, d) GROUP BY q""",
     "where_lost": f"WITH {E._RUNS}, h AS (SELECT id, arm, (score >= 3)::INT AS hit FROM runs WHERE run = 1) SELECT id, (SELECT count(*) FROM h o WHERE o.id = h.id AND o.arm <> 'base' AND o.hit = 1) AS found_by FROM h WHERE arm = 'base' AND hit = 0",
     "parity_table": f"WITH {E._RUNS} SELECT id, max(score) FILTER (arm = 'base') AS a, max(score) FILTER (arm = 'new') AS b, coalesce(abs(a - b) <= 1, false) AS parity FROM medians GROUP BY id",
@@ -142,8 +142,8 @@ ORACLES = {
     "grounding_verdicts": "SELECT conv_id AS id, cause IS NULL AS grounded, cause FROM (SELECT conv_id, CASE WHEN bool_or(length(text) % 37 = 0) THEN 'U' WHEN bool_or(length(text) % 29 = 0) THEN 'C' WHEN bool_or(length(text) % 11 = 0) THEN 'N' END AS cause FROM conversations GROUP BY 1)",
     "denied_windows": "WITH w AS (SELECT DISTINCT substr(text, i, 40) AS w FROM (SELECT text, unnest(range(1, length(text) - 38)) AS i FROM benchmark WHERE length(text) >= 40)), t AS (SELECT doc_id AS id, substr(text, i, 40) AS w FROM (SELECT doc_id, text, unnest(range(1, length(text) - 38)) AS i FROM documents WHERE length(text) >= 40)) SELECT id, count(*) AS runs FROM t WHERE w IN (SELECT w FROM w) GROUP BY 1",
     "resolve_citations": f"WITH {B.DOCS} SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'docs/' || path WHEN 1 THEN doc_id || '.md' ELSE 'x/' || doc_id || '.md' END AS path, CASE WHEN doc_id % 3 < 2 THEN 'docs/' || path END AS page FROM docs",
-    "calendar_questions": "WITH c AS (SELECT DISTINCT o_orderpriority AS folder, o_orderdate::DATE AS day, o_custkey AS path FROM orders WHERE o_orderkey % 5 = 0) SELECT a.folder, a.day, count(DISTINCT b.path) AS members FROM (SELECT DISTINCT folder, day FROM c) a JOIN c b ON a.folder = b.folder AND b.day BETWEEN a.day - 13 AND a.day GROUP BY ALL HAVING members BETWEEN 1 AND 12",
-    "round_robin_arms": "WITH t AS (SELECT event_id % 90 AS item, event_type AS arm, row_number() OVER (PARTITION BY event_type ORDER BY event_id, event_id % 90) AS turn FROM events WHERE event_id < 500) SELECT item, arm, turn::INT AS turn FROM t QUALIFY row_number() OVER (PARTITION BY item ORDER BY turn, arm) = 1",
+    "calendar_questions": "WITH c AS (SELECT DISTINCT o_orderpriority AS folder, o_orderdate::DATE AS day, o_custkey AS path FROM orders) SELECT a.folder, a.day, count(DISTINCT b.path) AS members FROM (SELECT DISTINCT folder, day FROM c) a JOIN c b ON a.folder = b.folder AND b.day BETWEEN a.day - 13 AND a.day GROUP BY ALL HAVING members BETWEEN 1 AND 12",
+    "round_robin_arms": "WITH t AS (SELECT event_id % 90 AS item, event_type AS arm, row_number() OVER (PARTITION BY event_type ORDER BY event_id, event_id % 90) AS turn FROM events) SELECT item, arm, turn::INT AS turn FROM t QUALIFY row_number() OVER (PARTITION BY item ORDER BY turn, arm) = 1",
     "step_presence": f"WITH {_STEPS}, p AS (SELECT coalesce(n.path, w.path) AS path, coalesce(n.step, w.step + 1) AS step, n.hash AS h, w.hash AS was FROM steps n FULL JOIN steps w ON n.path = w.path AND n.step = w.step + 1) SELECT path, step, CASE WHEN was IS NULL THEN 'appeared' WHEN h IS NULL THEN 'deleted' ELSE 'changed' END AS what FROM p WHERE step <= 3 AND h IS DISTINCT FROM was",
     "replay_validation": f"WITH {_STEPS} SELECT step, path, CASE WHEN doc_id % 13 = 5 THEN 'missing' ELSE 'different' END AS kind FROM steps WHERE doc_id % 13 = 5 OR doc_id % 17 = 3 UNION ALL SELECT step, 'x/' || path, 'extra' FROM steps WHERE doc_id % 19 = 2",
     "hot_paths": "SELECT user_id::VARCHAR AS path, hot_rank::INT AS hot_rank FROM (SELECT user_id, row_number() OVER (ORDER BY max(ts) DESC, user_id::VARCHAR) AS hot_rank FROM events GROUP BY 1 HAVING epoch_us(TIMESTAMP '2024-01-15 12:00:00') - epoch_us(max(ts)) <= 86400::BIGINT * 30 * 1000000) WHERE hot_rank <= 25",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import retrieval
 from ..operators.sections import line_sections
+from ..sources import store
 
 NOW = "2024-02-01 00:00:00"
 NOW_SQL = f"TIMESTAMP '{NOW}'"
@@ -20,7 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_sections(table(spark, sf_dir, "documents"))
+    """The sections of all documents, split and hashed once."""
+    return store.saved(spark, "sections", [f"{sf_dir}/documents.parquet"], lambda: line_sections(table(spark, sf_dir, "documents")))
+
+
+def index(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Postings in order of their tokens, and lengths, of the columns of ``rows`` (made from the documents), written once."""
+    made_of = [f"{sf_dir}/documents.parquet"]
+    in_order = lambda: retrieval.postings(rows, columns).repartitionByRange("token").sortWithinPartitions("token", "section_id")
+    return store.saved(spark, f"postings-{name}", made_of, in_order), store.saved(spark, f"lengths-{name}", made_of, lambda: retrieval.lengths(rows, columns))
 
 
 SECTIONS = """sections AS (SELECT doc_id, idx, doc_id || '#' || idx AS section_id, text, sha256(regexp_replace(text, '\\s+$', '')) AS section_hash, ceil(length(text) / 4.0)::BIGINT AS token_estimate, source, lang
@@ -74,8 +84,12 @@ def documents(rows: DataFrame) -> DataFrame:
 DOCS = f"""docs AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, sha256(text) AS content_hash, {NOW_SQL} - to_hours(doc_id) AS updated_at, {NOW_SQL} - to_hours(doc_id) AS file_mtime, CASE WHEN doc_id % 17 = 16 THEN {NOW_SQL} - to_hours(doc_id) END AS deleted_at FROM documents)"""
 
 
-def queries_of_benchmark(spark: SparkSession, sf_dir: str, words: int) -> DataFrame:
-    """Questions: the first words of each benchmark passage."""
+#: A question has so many words: the opening of a benchmark passage, as someone would type it.
+QUESTION_WORDS = 5
+
+
+def queries_of_benchmark(spark: SparkSession, sf_dir: str, words: int = QUESTION_WORDS) -> DataFrame:
+    """Questions: the first words of each benchmark passage. Their documents are searched whole."""
     b = table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("query"))
 
@@ -90,5 +104,5 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "text", F.explode(runs).alias("key")).join(b, "key").where(F.contains("text", "passage")).select("query_id", F.col("doc_id").cast("string").alias("page")).distinct()
 
 
-QRELS = "qrels AS (SELECT DISTINCT item_id AS query_id, doc_id::VARCHAR AS page FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)))"
+QRELS = "qrels AS (SELECT DISTINCT item_id AS query_id, doc_id::VARCHAR AS page FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 TOKENS = "regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"

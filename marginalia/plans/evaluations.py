@@ -36,7 +36,7 @@ def round_robin_sample(spark, d):  # noqa: ANN001, ANN201
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Documents retrieved for each question, as pages by first occurrence."""
     rows, index, sizes = Q._raw(spark, d)
-    scored = R.top(R.any_if_none(R.bm25(R.phrase_hits(index, R.phrases(B.queries_of_benchmark(spark, d, 5))), sizes, Q.RAW_WEIGHTS)), 40)
+    scored = R.top(R.any_if_none(R.bm25(R.phrase_hits(index, R.phrases(B.queries_of_benchmark(spark, d))), sizes, Q.RAW_WEIGHTS)), 40)
     return V.first_pages(scored.select("query_id", F.substring_index("section_id", "#", 1).alias("page"), "rank"))
 
 
@@ -126,7 +126,10 @@ def agreement(spark, d):  # noqa: ANN001, ANN201
 
 
 def set_f1(spark, d):  # noqa: ANN001, ANN201
-    rows = B.table(spark, d, "documents").select("doc_id", F.array_distinct(F.slice(text.tokens(F.col("text")), 1, 20)).alias("want"), F.array_distinct(F.slice(text.tokens(F.col("text")), 11, 20)).alias("got"))
+    """Of every text: the tokens at odd places as what is wanted, those at even places as what was got."""
+    t = text.tokens(F.coalesce("text", F.lit("")))
+    half = lambda odd: F.array_distinct(F.filter(t, lambda _, i: i % 2 == (0 if odd else 1)))
+    rows = B.table(spark, d, "documents").select("doc_id", half(True).alias("want"), half(False).alias("got"))
     return rows.select("doc_id", F.round(V.set_f1(rows), 6).alias("f1"))
 
 
@@ -164,11 +167,13 @@ def changed_terms(spark, d):  # noqa: ANN001, ANN201
 
 def impact_candidates(spark, d):  # noqa: ANN001, ANN201
     rows = B.sections(spark, d)
-    df = I.with_total(I.term_frequencies(rows), rows)
+    held = B.store.saved(spark, "held-terms", [f"{d}/documents.parquet"], lambda: I.held_terms(rows).repartitionByRange("term"))
+    df = I.with_total(held.groupBy("term").agg(F.count("*").alias("df")), rows)
     before = rows.where("idx = 0").select(F.col("doc_id").alias("change"), "text")
-    after = rows.where("idx = 1").select(F.col("doc_id").alias("change"), "text")
+    after = rows.where("idx = 1").select(F.col("doc_id").alias("change"), "text", "section_hash")
     chosen = I.leading_terms(I.changed_terms(before, after), df, F.col("n_sections"))
-    return I.candidates(chosen, rows, F.col("n_sections")).select("change", "section_id", "strength", "place")
+    own = rows.where("idx = 0").select(F.col("doc_id").alias("change"), "section_id")
+    return I.candidates(chosen, held, F.col("n_sections"), own=own, after=after.select("change", "section_hash")).select("change", "section_id", "strength", "place")
 
 
 def doc_neighbours(spark, d):  # noqa: ANN001, ANN201
@@ -225,7 +230,7 @@ QUERIES = {f.__name__: f for f in (seeded_order, split_assign, round_robin_sampl
 
 _QS = "qs AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'a' ELSE 'b' END AS project, 'c' || item_id % 4 AS category FROM benchmark)"
 _KEY = f"sha256('{SEED}:' || query_id)"
-_ASKED = "asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS query FROM benchmark)"
+_ASKED = f"asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:{B.QUESTION_WORDS}], ' ') AS query FROM benchmark)"
 _BENCH = f"WITH {B.SECTIONS}, {Q._RAW_SQL}, {_ASKED}, {Q._PHRASES}, {Q._bm25_sql('raw', Q.RAW_WEIGHTS, 's')}, chosen AS (SELECT *, max((matched = n_phrases)::INT) OVER (PARTITION BY query_id) = 0 AS partial FROM s)"
 _DF = f"{B.SECTIONS}, df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT section_id, unnest({B.TOKENS.format('text')}) AS term FROM sections) GROUP BY 1)"
 
@@ -249,7 +254,7 @@ def _splitmix_sql(n_draws: int) -> str:
     m = "18446744073709551616::UHUGEINT"
     shift = lambda x, k: f"xor({x}, {x} >> {k})"
     start = S.stream_start(SEED, "quality")
-    return f"""WITH y AS (SELECT quality, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels WHERE doc_id < 250),
+    return f"""WITH y AS (SELECT quality, row_number() OVER (ORDER BY doc_id, quality) - 1 AS i, count(*) OVER () AS n FROM labels),
       c AS (SELECT i, n, (({start}::UHUGEINT + {S.GAMMA}::UHUGEINT * (i + 1)::UHUGEINT % {m}) % {m}) AS z FROM (SELECT unnest(range({n_draws} * (SELECT max(n) FROM y))) AS i, (SELECT max(n) FROM y) AS n)),
       a AS (SELECT i, n, {shift("z", 30)} AS z FROM c),
       b AS (SELECT i, n, (((z >> 32) * {S.MIX_1 & 0xFFFFFFFF}::UHUGEINT % {m} + (z & 4294967295::UHUGEINT) * {S.MIX_1 >> 32}::UHUGEINT % {m}) % 4294967296::UHUGEINT * 4294967296::UHUGEINT + (z & 4294967295::UHUGEINT) * {S.MIX_1 & 0xFFFFFFFF}::UHUGEINT) % {m} AS z FROM a),
@@ -282,20 +287,20 @@ ORACLES = {
     "paired_winloss": f"WITH {_RUNS}, b AS (SELECT x.h AS b, y.h AS n FROM (SELECT id, (score >= 3)::INT AS h FROM runs WHERE arm = 'base' AND run = 1) x FULL JOIN (SELECT id, (score >= 3)::INT AS h FROM runs WHERE arm = 'new' AND run = 1) y USING (id)) SELECT count(*) FILTER (n = 1 AND b = 0) AS wins, count(*) FILTER (n = 0 AND b = 1) AS losses, count(*) FILTER (n = b) AS ties, count(*) FILTER (n IS NULL OR b IS NULL) AS one_sided, round(avg(n - b), 6) AS delta FROM b",
     "bootstrap_ci": _splitmix_sql(2000),
     "nearest_rank": "SELECT event_type, quantile_disc(value, 0.025) AS low, quantile_disc(value, 0.975) AS high FROM events GROUP BY 1",
-    "quantiles_t4": "SELECT user_id, list_sort(list(value))[(floor((count(*) - 1) * 0.5 + 0.5))::INT + 1] AS p50, list_sort(list(value))[(floor((count(*) - 1) * 0.9 + 0.5))::INT + 1] AS p90 FROM events WHERE user_id < 20 GROUP BY 1",
-    "quantiles_latency": "SELECT user_id, list_sort(list(value))[(floor((count(*) - 1) * 0.5))::INT + 1] AS p50, list_sort(list(value))[(floor((count(*) - 1) * 0.9))::INT + 1] AS p90 FROM events WHERE user_id < 20 GROUP BY 1",
+    "quantiles_t4": "SELECT user_id, list_sort(list(value))[(floor((count(*) - 1) * 0.5 + 0.5))::INT + 1] AS p50, list_sort(list(value))[(floor((count(*) - 1) * 0.9 + 0.5))::INT + 1] AS p90 FROM events GROUP BY 1",
+    "quantiles_latency": "SELECT user_id, list_sort(list(value))[(floor((count(*) - 1) * 0.5))::INT + 1] AS p50, list_sort(list(value))[(floor((count(*) - 1) * 0.9))::INT + 1] AS p90 FROM events GROUP BY 1",
     "agreement": f"WITH {_RUNS}, s AS (SELECT id, 'j' || run AS j, score FROM runs WHERE arm = 'base') SELECT a.j AS judge_a, b.j AS judge_b, count(*) AS n, round(avg((a.score = b.score)::INT), 6) AS exact, round(avg((abs(a.score - b.score) <= 1)::INT), 6) AS within_one FROM s a JOIN s b ON a.id = b.id AND a.j < b.j GROUP BY ALL",
-    "set_f1": f"WITH t AS (SELECT doc_id, list_distinct({B.TOKENS.format('text')}[1:20]) AS want, list_distinct({B.TOKENS.format('text')}[11:30]) AS got FROM documents WHERE doc_id < 400) SELECT doc_id, round(CASE WHEN len(want) + len(got) = 0 THEN 1 ELSE 2.0::DOUBLE * len(list_intersect(want, got)) / (len(want) + len(got)) END, 6) AS f1 FROM t",
+    "set_f1": f"WITH t AS (SELECT doc_id, list_distinct({B.TOKENS.format('text')}[1:-:2]) AS want, list_distinct({B.TOKENS.format('text')}[2:-:2]) AS got FROM documents) SELECT doc_id, round(CASE WHEN len(want) + len(got) = 0 THEN 1 ELSE 2.0::DOUBLE * len(list_intersect(want, got)) / (len(want) + len(got)) END, 6) AS f1 FROM t",
     "alert_quality": "WITH b AS (SELECT toxic = 1 AS f, quality = 0 AS y FROM (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1)) SELECT count(*) FILTER (f) AS findings, count(*) FILTER (y) AS labels, count(*) FILTER (f AND y) AS met, round(count(*) FILTER (f AND y) / nullif(count(*) FILTER (f), 0), 6) AS precision, round(count(*) FILTER (f AND y) / nullif(count(*) FILTER (y), 0), 6) AS recall FROM b",
     "interval_selfjoin": "SELECT a.o_custkey AS who, a.o_orderkey AS id_a, b.o_orderkey AS id_b, ((epoch(b.o_orderdate) - epoch(a.o_orderdate)) // 86400)::BIGINT AS days_later FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate > a.o_orderdate AND epoch(b.o_orderdate) - epoch(a.o_orderdate) <= 14 * 86400 AND a.o_orderpriority <> b.o_orderpriority",
     "signature_groups": "SELECT count(*) AS n, min(id) AS first_id FROM (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_returnflag)) AS r, list_sort(list(DISTINCT l_linestatus)) AS a FROM lineitem GROUP BY 1) GROUP BY r, a HAVING count(*) > 1",
-    "term_df": f"WITH {_DF} SELECT term, df FROM df WHERE df > 5",
-    "strength_weight": f"WITH {_DF} SELECT term, {_strength('df', '1000', '''NOT regexp_matches(term, '[0-9]')''', 'length(term) % 2 = 0')} AS weight FROM df WHERE df > 5",
-    "changed_terms": f"WITH {B.SECTIONS}, {_terms('SELECT doc_id || chr(45) || idx AS change, text FROM sections WHERE doc_id < 100 AND idx < 3', 'SELECT doc_id || chr(45) || (idx - 1) AS change, text FROM sections WHERE doc_id < 100 AND idx BETWEEN 1 AND 3')} SELECT * FROM terms",
-    "impact_candidates": f"""WITH {_DF}, {_terms("SELECT doc_id AS change, text FROM sections WHERE doc_id < 20 AND idx = 0", "SELECT doc_id AS change, text FROM sections WHERE doc_id < 20 AND idx = 1")},
-      chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY CASE role WHEN 'replaced' THEN 0 WHEN 'added' THEN 1 ELSE 2 END, df, term) AS p FROM terms JOIN df USING (term) WHERE df <= 200) WHERE p <= 12),
-      held AS (SELECT DISTINCT section_id, doc_id, unnest({B.TOKENS.format("text")}) AS term FROM sections),
-      scored AS (SELECT change, section_id, doc_id, sum({_strength("df", "1000", "NOT regexp_matches(term, '[0-9]')", "role = 'replaced'")})::BIGINT AS strength FROM held JOIN chosen USING (term) GROUP BY ALL),
+    "term_df": f"WITH {_DF} SELECT term, df FROM df",
+    "strength_weight": f"WITH {_DF} SELECT term, {_strength('df', '(SELECT count(*) FROM sections)', '''NOT regexp_matches(term, '[0-9]')''', 'length(term) % 2 = 0')} AS weight FROM df",
+    "changed_terms": f"WITH {B.SECTIONS}, {_terms('SELECT doc_id || chr(45) || idx AS change, text FROM sections', 'SELECT doc_id || chr(45) || (idx - 1) AS change, text FROM sections WHERE idx >= 1')} SELECT * FROM terms",
+    "impact_candidates": f"""WITH {_DF}, {_terms("SELECT doc_id AS change, text FROM sections WHERE idx = 0", "SELECT doc_id AS change, text FROM sections WHERE idx = 1")},
+      chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY CASE role WHEN 'replaced' THEN 0 WHEN 'added' THEN 1 ELSE 2 END, df, term) AS p FROM terms JOIN df USING (term) WHERE df <= greatest(10, floor((SELECT count(*) FROM sections) * 0.2))) WHERE p <= 12),
+      held AS (SELECT DISTINCT section_id, doc_id, idx, section_hash, unnest({B.TOKENS.format("text")}) AS term FROM sections),
+      scored AS (SELECT change, section_id, doc_id, sum({_strength("df", "(SELECT count(*) FROM sections)", "NOT regexp_matches(term, '[0-9]')", "role = 'replaced'")})::BIGINT AS strength FROM held JOIN chosen USING (term) WHERE NOT (doc_id = change AND idx = 0) AND NOT EXISTS (SELECT 1 FROM sections o WHERE o.doc_id = change AND o.idx = 1 AND o.section_hash = held.section_hash) GROUP BY ALL),
       own AS (SELECT *, row_number() OVER (PARTITION BY change, doc_id ORDER BY strength DESC, section_id) AS own FROM scored)
       SELECT change, section_id, strength, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY strength DESC, section_id) AS place FROM own WHERE own <= 2) WHERE place <= 8""",
     "doc_neighbours": """WITH p AS (SELECT page_id, html, '/' || regexp_extract(url, '/([^/?#.]+)[^/]*$', 1) AS path FROM pages WHERE url IS NOT NULL), k AS (SELECT path, min(page_id) AS page_id FROM p GROUP BY 1),
@@ -311,5 +316,5 @@ ORACLES = {
     "url_redaction": "SELECT page_id, 'see ' || url || ' and <path>' AS shown FROM pages",
     "host_only": "SELECT page_id, nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '') AS host FROM pages",
     "humanize_age": f"SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' WHEN s < 86400 THEN s // 3600 || 'h' WHEN s < 1209600 THEN s // 86400 || 'd' ELSE s // 604800 || 'w' END AS age FROM (SELECT event_id, greatest(floor(epoch({B.NOW_SQL}))::BIGINT - floor(epoch(ts))::BIGINT, 0) AS s FROM events)",
-    "embed_texts": f"WITH {B.SECTIONS} SELECT section_id, md5({Q._HEAD} || chr(10) || substr(text, 1, 40) || chr(10) || substr(text, 1, 40)) AS digest FROM sections WHERE idx < 2",
+    "embed_texts": f"WITH {B.SECTIONS} SELECT section_id, md5({Q._HEAD} || chr(10) || text || chr(10) || text) AS digest FROM sections",
 }

@@ -197,10 +197,12 @@ def tumbling_daily(spark, d):  # noqa: ANN001, ANN201
 
 
 def corpus_commitment(spark, d):  # noqa: ANN001, ANN201
-    """A digest of (path, hash) in order, folded per source, so no row holds the whole corpus."""
+    """Digests of (path, hash): of each range of the paths' hashes in order, of each source's ranges, and of all sources (as "*")."""
     docs = _docs(spark, d).where("content_hash IS NOT NULL").withColumn("source", F.substring_index("path", "/", 1))
-    part = docs.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "content_hash"))), "\n"), 256).alias("digest"))
-    return part
+    folded = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256).alias("digest")
+    ranges = docs.groupBy("source", F.substring(F.sha2("path", 256), 1, 3).alias("range")).agg(folded(F.concat_ws(":", "path", "content_hash")))
+    sources = ranges.groupBy("source").agg(folded(F.concat_ws(":", "range", "digest")))
+    return sources.unionByName(sources.agg(folded(F.concat_ws(":", "source", "digest"))).select(F.lit("*").alias("source"), "digest"))
 
 
 QUERIES = {f.__name__: f for f in (docs_counts, usage_by_day, usage_totals_grouping, card_cost, model_price_prefix, state_pivot, open_sections_by_doc, recent_docs, timeline_window, timeline_daily, pending_representative, budget_cut, cards_without_vector, live_vectors, latest_vectors, embedding_counts, malformed_vectors, keyset_page, has_model_cards, source_tokens_lag, section_delta, upsert_outcome, carried_times, changed_documents, rename_pairs, stale_docs, line_multiset_diff, relocated, dedupe_content_hash, debounce_sessions, tumbling_daily, corpus_commitment)}
@@ -251,11 +253,12 @@ ORACLES = {
       SELECT old_path, new_path FROM g JOIN c USING (content_hash, nth)""",
     "stale_docs": f"{_M} SELECT l.path, CASE WHEN m.mtime IS NULL THEN 'missing' WHEN NOT readable THEN 'unreadable' WHEN m.mtime = l.file_mtime OR m.content_hash = l.content_hash THEN 'fresh' ELSE 'changed' END AS state FROM live l LEFT JOIN moved m USING (path)",
     "line_multiset_diff": f"""{_E}, n AS (SELECT doc_id, text, count(*) AS c FROM sections GROUP BY ALL) SELECT e.doc_id, e.idx AS line_no, md5(e.text) AS line_md5 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY idx) AS nth FROM edited) e LEFT JOIN n ON n.doc_id = e.doc_id AND n.text = e.text WHERE nth > coalesce(c, 0)""",
-    "relocated": f"""{_E}, r AS (SELECT s.doc_id, s.idx, e.idx AS now_idx, CASE WHEN e.section_hash = s.section_hash AND e.idx = s.idx THEN 0 WHEN e.section_hash = s.section_hash THEN 1 WHEN e.idx = s.idx THEN 3 END AS rank FROM sections s JOIN edited e USING (doc_id) WHERE s.idx % 3 = 0)
+    "relocated": f"""{_E}, r AS (SELECT s.doc_id, s.idx, e.idx AS now_idx, CASE WHEN e.section_hash = s.section_hash AND e.idx = s.idx THEN 0 WHEN e.section_hash = s.section_hash THEN 1 WHEN e.idx = s.idx THEN 3 END AS rank FROM sections s JOIN edited e USING (doc_id))
       SELECT doc_id, idx, arg_min(now_idx, rank * 1000000000::BIGINT + now_idx) AS now_idx FROM r WHERE rank IS NOT NULL GROUP BY ALL""",
     "dedupe_content_hash": f"{_W} SELECT section_hash, count(*) AS sections, count(DISTINCT doc_id) AS docs, min(section_id) AS first_section FROM sections GROUP BY 1 HAVING count(*) > 1",
     "debounce_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
       SELECT user_id AS doc_id, min(ts) AS first_at, max(ts) + INTERVAL 30 MINUTE AS released_at, count(*) AS hints FROM n GROUP BY user_id, s""",
     "tumbling_daily": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "corpus_commitment": f"WITH {B.DOCS} SELECT split_part(path, '/', 1) AS source, sha256(string_agg(path || ':' || content_hash, chr(10) ORDER BY path || ':' || content_hash)) AS digest FROM docs WHERE content_hash IS NOT NULL GROUP BY 1",
+    "corpus_commitment": f"""WITH {B.DOCS}, r AS (SELECT split_part(path, '/', 1) AS source, sha256(path)[1:3] AS range, sha256(string_agg(path || ':' || content_hash, chr(10) ORDER BY path || ':' || content_hash)) AS digest FROM docs WHERE content_hash IS NOT NULL GROUP BY ALL),
+      s AS (SELECT source, sha256(string_agg(range || ':' || digest, chr(10) ORDER BY range || ':' || digest)) AS digest FROM r GROUP BY 1) SELECT * FROM s UNION ALL SELECT '*', sha256(string_agg(source || ':' || digest, chr(10) ORDER BY source || ':' || digest)) FROM s""",
 }

@@ -1,4 +1,4 @@
-"""Queries work on whole tables: against brute force over the small tables, where the registered SQL takes a part only."""
+"""Queries work on whole tables: against brute force over the small tables, beside the comparison with SQL."""
 
 from __future__ import annotations
 
@@ -56,6 +56,8 @@ def test_impact_candidates(spark, sections, terms):  # noqa: ANN001
     own, df = terms
     at, n = {(r["doc_id"], r["idx"]): own[r["section_id"]] for r in sections}, len(sections)
     held = defaultdict(list)
+    hashes = {(r["doc_id"], r["idx"]): r["section_hash"] for r in sections}
+    by_id = {r["section_id"]: r["section_hash"] for r in sections}
     for r in sections:
         for t in own[r["section_id"]]:
             held[t].append((r["section_id"], r["doc_id"]))
@@ -64,8 +66,11 @@ def test_impact_candidates(spark, sections, terms):  # noqa: ANN001
         found = roles(at.get((d, 0), set()), at.get((d, 1), set()))
         chosen = sorted((order[role], df[t], t) for t, role in found.items() if df[t] <= max(10, math.floor(n * 0.2)))[:12]
         score = Counter()
+        now = hashes.get((d, 1))
         for role, f, t in chosen:
             for s in held[t]:
+                if s == (f"{d}#0", d) or now is not None and by_id[s[0]] == now:
+                    continue  # the changed section itself, and those that read as it does now
                 score[s] += strength(f, n, not re.search("[0-9]", t), role == 0)
         taken, place = Counter(), 0
         for (section, doc), x in sorted(score.items(), key=lambda p: (-p[1], p[0][0])):
