@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import block_naming, bpe, jaccard, mixing, toxicity
 from marginalia.llm.queries import WEIGHTS, domain_of_source, table, vocabulary
-from marginalia.llm.shared import settle
+from marginalia.llm.shared import free, settle
 
 #: The mix takes this part of the tokens left, each document once at most: repeats would undo the stages before it.
 MIX_FILL, MIX_EPOCHS, MIX_SEED = (9, 10), 1, 7
@@ -52,5 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        kept = settle(stage(spark, docs, sf_dir), name)
+        free(docs)  # the stage that read it is written
+        docs = kept
     return docs

@@ -41,6 +41,21 @@ def parse_query(text: str) -> list[tuple[str, bool]]:
     return [(t.rstrip("*"), t.endswith("*")) for t in text.split() if re.search(r"\w", t)]
 
 
+# English words that say little in a question, as they are left out of its AND form.
+STOP_WORDS = frozenset(
+    """a an and are as at be but by can do does for from how i if in into is it its my of on or that the this to was we what when
+    where which why with you your""".split()
+)
+
+
+def without_stop_words(query: Column) -> Column:
+    """The question without words that say little; one that is made of nothing else stays as it is."""
+    terms = F.filter(F.split(F.trim(query), r"\s+"), lambda w: w != "")
+    bare = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    kept = F.filter(terms, lambda w: ~bare(w).isin(sorted(STOP_WORDS)))
+    return F.when(F.size(kept) == 0, query).otherwise(F.array_join(kept, " "))
+
+
 def phrases(queries: DataFrame, text_col: str = "query") -> DataFrame:
     """queries: query_id, text -> query_id, phrase, offset, token, prefix, n_tokens, n_phrases.
 

@@ -1,12 +1,13 @@
 """Changes as they come: hints are debounced per path, then batches of paths update the index.
 
 The debouncer keeps a row of state for each path: first hint, last hint, size. A path is let go when it was quiet for a
-while and its size stayed the same; a growing file waits on. What is let go goes to ``foreachBatch``, whose batches are
+while and its size is still that of its last hint; a file that has grown meanwhile is held for another quiet period. What is let go goes to ``foreachBatch``, whose batches are
 applied with the same joins as a batch run, renames paired within a batch.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,11 +27,27 @@ def classify(path: Column) -> Column:
     return F.when(name.isin(".gitignore", ".ignore"), "structural").when(hidden, "ignore").when(is_markdown(path) & ~name.startswith("."), "markdown").otherwise("ignore")
 
 
+def size_of(path: str) -> int:
+    """Bytes of a file, -1 if there is none."""
+    try:
+        return os.stat(path).st_size
+    except OSError:
+        return -1
+
+
 class Debounce(StatefulProcessor):
-    """Processing-time timers; state is one row a path and goes when the path is let go."""
+    """Processing-time timers; state is one row a path and goes when the path is let go.
+
+    ``size_now`` tells a path's size when its timer runs out, or None if that can't be known where the stream runs; then
+    quiet alone decides.
+    """
 
     quiet_ms = 1000
 
+    @staticmethod
+    def size_now(path: str) -> int | None:
+        return None
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("hint", "first_ms long, last_ms long, size long, hints long")
@@ -49,18 +66,23 @@ class Debounce(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         if self.state.exists():
-            first, _, _, hints = self.state.get()
+            first, _, size, hints = self.state.get()
+            now, current = timerValues.getCurrentProcessingTimeInMs(), self.size_now(key[0])
+            if current is not None and current != size:
+                self.state.update((first, now, current, hints))
+                self.handle.registerTimer(now + self.quiet_ms)
+                return
             self.state.clear()
-            now = timerValues.getCurrentProcessingTimeInMs()
             yield pd.DataFrame({"path": [key[0]], "first_at": pd.to_datetime([first], unit="ms"), "released_at": pd.to_datetime([now], unit="ms"), "hints": [hints]})
 
     def close(self) -> None:
         pass
 
 
-def debounced(hints: DataFrame, quiet_ms: int = 1000) -> DataFrame:
-    """hints (streaming): path, at, size -> paths let go after being quiet. Needs the RocksDB state store."""
-    processor = type("Debounce", (Debounce,), {"quiet_ms": quiet_ms})()
+def debounced(hints: DataFrame, quiet_ms: int = 1000, size_now: Callable[[str], int | None] = Debounce.size_now) -> DataFrame:
+    """hints (streaming): path, at, size -> paths let go after being quiet, whose size (as ``size_now`` tells it, such as
+    ``size_of``) is that of the last hint. Needs the RocksDB state store."""
+    processor = type("Debounce", (Debounce,), {"quiet_ms": quiet_ms, "size_now": staticmethod(size_now)})()
     return hints.groupBy("path").transformWithStateInPandas(processor, outputStructType=OUT, outputMode="Update", timeMode="ProcessingTime")
 
 

@@ -170,3 +170,92 @@ def test_backoff_and_concurrency():
     assert [watch.next_interval(n) for n in range(9)] == [0.0, 5.0, 10.0, 20.0, 40.0, 80.0, 160.0, 300.0, 300.0]
     assert watch.concurrency(["ok"] * 8 + ["rate_limited", "ok"])[-3:] == [3, 1, 1]
 
+
+
+def test_growing_files_wait():
+    """A path whose size changed since its last hint is held for another quiet period."""
+    import pandas as pd
+
+    from marginalia.streaming.watch import Debounce
+
+    class Value:
+        now = None
+
+        def exists(self):  # noqa: ANN202
+            return self.now is not None
+
+        def get(self):  # noqa: ANN202
+            return self.now
+
+        def update(self, row):  # noqa: ANN001, ANN202
+            self.now = row
+
+        def clear(self):  # noqa: ANN202
+            self.now = None
+
+    class Handle:
+        def __init__(self):
+            self.value, self.timers = Value(), []
+
+        def getValueState(self, *_):  # noqa: ANN002, ANN202, N802
+            return self.value
+
+        def listTimers(self):  # noqa: ANN202, N802
+            return list(self.timers)
+
+        def deleteTimer(self, at):  # noqa: ANN001, ANN202, N802
+            self.timers.remove(at)
+
+        def registerTimer(self, at):  # noqa: ANN001, ANN202, N802
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, now):  # noqa: ANN001
+            self.now = now
+
+        def getCurrentProcessingTimeInMs(self):  # noqa: ANN202, N802
+            return self.now
+
+    sizes = {"a.md": 10}
+    handle, debounce = Handle(), type("D", (Debounce,), {"size_now": staticmethod(sizes.get)})()
+    debounce.init(handle)
+    list(debounce.handleInputRows(("a.md",), iter([pd.DataFrame({"size": [7]})]), Clock(0)))
+    assert list(debounce.handleExpiredTimer(("a.md",), Clock(1000), None)) == [] and handle.timers[-1] == 2000
+    sizes["a.md"] = 12
+    assert list(debounce.handleExpiredTimer(("a.md",), Clock(2000), None)) == [] and handle.timers[-1] == 3000
+    (out,) = debounce.handleExpiredTimer(("a.md",), Clock(3000), None)
+    assert out["path"].tolist() == ["a.md"] and out["hints"].tolist() == [1] and not handle.value.exists()
+
+
+def test_saved_tables_follow_their_inputs(spark, tmp_path):  # noqa: ANN001
+    from marginalia.sources import store
+
+    place, made = f"file://{tmp_path}/in", []
+
+    def make():  # noqa: ANN202
+        made.append(1)
+        return spark.read.parquet(place)
+
+    spark.range(3).write.parquet(place)
+    for _ in range(2):
+        assert store.saved(spark, "t", [place], make).count() == 3
+    assert len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(place)
+    assert store.saved(spark, "t", [place], make).count() == 5 and len(made) == 2
+
+
+def test_stop_words():
+    from marginalia.operators.retrieval import STOP_WORDS
+
+    assert {"the", "how", "your"} <= STOP_WORDS and len(STOP_WORDS) == 40
+
+
+def test_many_queries_meet_all_vectors(spark, monkeypatch):  # noqa: ANN001
+    from marginalia.operators import retrieval as R
+
+    v = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(60)], "id bigint, vector array<double>")
+    asked = v.where("id < 9").selectExpr("id AS query_id", "vector")
+    want = sorted(map(tuple, R.vector_hits(v, asked, 4).collect()))
+    monkeypatch.setattr(R, "FEW_QUERIES", 3)
+    monkeypatch.setattr(R, "VECTORS_A_SALT", 10)
+    assert sorted(tuple(r[c] for c in ("query_id", "id", "cosine", "rank")) for r in R.vector_hits(v, asked, 4).collect()) == want
