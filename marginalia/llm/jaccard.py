@@ -50,6 +50,8 @@ SMALL = 16
 HEADS, HEAD_SHARE = 3, 0.5
 #: A hash is common if more prefixes hold it than a block has rows and than this part of all texts.
 COMMON_PARTS = 20_000
+#: Keys are counted up to so many times a prefix.
+FURTHER = 1.25
 #: Prefix keys have 63 bits; the first bit is set for common ones, so that keys in ascending order have them last.
 COMMON_BIT = 1 << 63
 # Odd 64-bit numbers (fixed values) that mix the hashes of a shingle's words.
@@ -84,14 +86,14 @@ def similar(a: int, b: int, both: int) -> bool:
     return 100 * both >= 80 * (a + b - both)
 
 
-def prefix_keys(hashes, common, times: int = 1):  # noqa: ANN001, ANN201
+def prefix_keys(hashes, common, times: float = 1):  # noqa: ANN001, ANN201
     """The first keys of a set, ``times`` a prefix of them: ascending, as unsigned numbers, with the common ones last."""
     import numpy as np
 
     keys = hashes >> np.uint64(1)
     if len(common):
         keys = np.where(np.isin(keys, common), keys | np.uint64(COMMON_BIT), keys)
-    return np.sort(keys)[: times * prefix_size(len(hashes))]
+    return np.sort(keys)[: math.ceil(times * prefix_size(len(hashes)))]
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,7 +103,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _common(docs: DataFrame, text_col: str) -> list[int]:
-    """The keys that are among the first of very many texts. Twice a prefix is counted, as prefixes without them reach further.
+    """The keys that are among the first of very many texts. Somewhat more than prefixes is counted, as without them those reach further.
 
     Of all keys counted, at most COMMON_PARTS times the mean prefix can be common; the work stays right whatever is left out.
     """
@@ -115,7 +117,7 @@ def _common(docs: DataFrame, text_col: str) -> list[int]:
         none = np.empty(0, np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                keys = [prefix_keys(shingles(t), none, 2) for t in batch.column(0).slice(at, 500).to_pylist()]
+                keys = [prefix_keys(shingles(t), none, FURTHER) for t in batch.column(0).slice(at, 500).to_pylist()]
                 # equal ones are counted here first: what many texts hold is a few rows
                 key, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["s", "n"])
