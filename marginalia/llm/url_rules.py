@@ -9,7 +9,8 @@ the first ``depth`` slots are the rules that hold at a point.
 Two sweeps: distinct hosts against rule hosts, then (rule host, path) against that host's path prefixes. Hosts are
 counted before anything moves, so a hot host is one row in the first sweep. Points of a hot group are dealt over as
 many salts as they need, and only that group's rules are copied to each salt; rows are dealt out by group and salt, as
-otherwise a join on the group before would have left all salts of a group in one task.
+otherwise a join on the group before would have left all salts of a group in one task. What grows with the pages is
+merge-joined, also where its compressed files look small; only what the rules bound may be broadcast.
 
 Defined results: a url that is null or has no "://" has an empty host and path and gets the default verdict; so does
 a host that no rule covers. Rules that are null in host, path or verdict are ignored; of rules with the same host and
@@ -88,12 +89,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: t
     first = F.concat(F.substring_index(F.col("key").cast("string"), ".", 1), F.lit("."))
     hosts = settle(hosts.select("host", "key", F.explode(F.array(first, of(F.col("key")))).alias("group")).distinct(), "hosts")
     held = settle(_sweep(hosts, rule_hosts, ["host"], per_group).select("host", F.explode("stack").alias("group")), "held")
-    probes = settle(urls.join(held, "host").select("group", F.col("path").cast("binary").alias("key"), "host", "path"), "probes")
+    probes = settle(urls.join(held.hint("merge"), "host").select("group", F.col("path").cast("binary").alias("key"), "host", "path"), "probes")
     size = F.length(F.concat("host", "path")).alias("size")
     rule = F.struct(size, F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "verdict").alias("rule")
     prefixes = rules.select(F.col("host").alias("group"), F.col("path").cast("binary").alias("key"), rule)
     won = _sweep(probes, prefixes, ["host", "path"], per_group).groupBy("host", "path").agg(F.max(F.element_at("stack", -1)).alias("won"))
     won = settle(won, "won")
     free(urls, hosts, held, probes)
-    out = rows.join(won, ["host", "path"], "left")
+    out = rows.join(won.hint("merge"), ["host", "path"], "left")
     return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
