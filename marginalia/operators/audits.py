@@ -57,10 +57,20 @@ def grounding_verdicts(batches: DataFrame) -> DataFrame:
 def denied_windows(texts: DataFrame, denied: DataFrame, width: int = 40) -> DataFrame:
     """texts: id, text; denied: text -> ids of texts that share a run of ``width`` characters with a denied one, and how many such runs.
 
-    Windows meet by their text, a plain equi-join; a denied text is cut at every place, so alignment doesn't matter.
+    Windows meet by their text, a plain equi-join; a denied text is cut at every place, so alignment doesn't matter. Any window
+    holds one of the blocks of half its width that start at multiples of it, so texts are first cut into those only; just the
+    texts of which a block is in a denied one are cut at every place.
     """
-    cut = lambda rows, key: rows.where(F.length("text") >= width).select(*key, F.explode(F.expr(f"transform(sequence(1, length(text) - {width - 1}), i -> substring(text, i, {width}))")).alias("w"))
-    return cut(texts, ["id"]).join(cut(denied, []).distinct(), "w", "left_semi").groupBy("id").agg(F.count("*").alias("runs"))
+    block = (width + 1) // 2
+
+    def cut(rows: DataFrame, key: list[str], size: int, step: int) -> DataFrame:
+        places = F.expr(f"transform(sequence(1, length(text) - {size - 1}, {step}), i -> substring(text, i, {size}))")
+        return rows.where(F.length("text") >= width).select(*key, F.explode(places).alias("w"))
+
+    near = cut(texts, ["id"], block, block).join(cut(denied, [], block, 1).distinct(), "w", "left_semi").select("id").distinct()
+    some = texts.join(near, "id", "left_semi")
+    met = cut(some, ["id"], width, 1).join(cut(denied, [], width, 1).distinct(), "w", "left_semi")
+    return met.groupBy("id").agg(F.count("*").alias("runs"))
 
 
 def resolve_citations(cited: DataFrame, inventory: DataFrame) -> DataFrame:
