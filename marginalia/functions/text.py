@@ -112,3 +112,30 @@ def has_scheme(link: Column) -> Column:
 def years_in(text: Column) -> Column:
     """Four-digit years that are no part of longer runs of digits."""
     return F.transform(F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1)), lambda y: y.cast("int"))
+
+
+def path_prefix_under(roots: list[str], raw: str) -> str | None:
+    """The prefix below the root that a typed path filter means, by text alone; None for the whole root.
+
+    A relative path stays as typed, without a leading "./". An absolute one must be one of the roots or below it, else
+    ``ValueError``. A slash at the end is kept: ``docs/`` doesn't stand for ``docs2/a.md``, ``docs`` does.
+    """
+
+    def plain(path: str) -> list[str]:
+        out: list[str] = []
+        for part in path.split("/"):
+            if part == "..":
+                del out[-1:]
+            elif part not in ("", "."):
+                out.append(part)
+        return out
+
+    if not raw.startswith("/"):
+        own = raw.removeprefix("./")
+        return None if own in ("", ".") else own
+    asked = plain(raw)
+    for root in map(plain, roots):
+        if asked[: len(root)] == root:
+            below = "/".join(asked[len(root) :])
+            return (below + "/" if raw.endswith("/") else below) if below else None
+    raise ValueError(f"{raw} is not under {roots[0] if roots else 'any root'}")

@@ -178,10 +178,10 @@ def impact_candidates(spark, d):  # noqa: ANN001, ANN201
 
 def doc_neighbours(spark, d):  # noqa: ANN001, ANN201
     """Links of pages to pages whose address ends alike."""
-    pages = B.table(spark, d, "pages").where("url IS NOT NULL").select(F.concat(F.lit("/"), F.regexp_extract("url", r"/([^/?#.]+)[^/]*$", 1)).alias("path"), "html", "page_id")
+    pages = B.table(spark, d, "pages").where("url IS NOT NULL").select(F.regexp_extract("url", r"/([^/?#.]+)[^/]*$", 1).alias("path"), "html", "page_id")
     known = pages.groupBy("path").agg(F.min("page_id").alias("page_id"))
     links = known.join(pages.select("page_id", "html"), "page_id").select(F.col("path").alias("from_path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
-    return I.neighbours(I.resolve_links(links.distinct().unionByName(known.select(F.col("path").alias("from_path"), F.concat(F.substring("path", 1, 2), F.lit("0")).alias("target"))), known))
+    return I.neighbours(I.resolve_links(links.distinct().unionByName(known.select(F.col("path").alias("from_path"), F.concat(F.lit("/"), F.substring("path", 1, 1), F.lit("0")).alias("target"))), known))
 
 
 def section_times(spark, d):  # noqa: ANN001, ANN201
@@ -303,9 +303,10 @@ ORACLES = {
       scored AS (SELECT change, section_id, doc_id, sum({_strength("df", "(SELECT count(*) FROM sections)", "NOT regexp_matches(term, '[0-9]')", "role = 'replaced'")})::BIGINT AS strength FROM held JOIN chosen USING (term) WHERE NOT (doc_id = change AND idx = 0) AND NOT EXISTS (SELECT 1 FROM sections o WHERE o.doc_id = change AND o.idx = 1 AND o.section_hash = held.section_hash) GROUP BY ALL),
       own AS (SELECT *, row_number() OVER (PARTITION BY change, doc_id ORDER BY strength DESC, section_id) AS own FROM scored)
       SELECT change, section_id, strength, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY strength DESC, section_id) AS place FROM own WHERE own <= 2) WHERE place <= 8""",
-    "doc_neighbours": """WITH p AS (SELECT page_id, html, '/' || regexp_extract(url, '/([^/?#.]+)[^/]*$', 1) AS path FROM pages WHERE url IS NOT NULL), k AS (SELECT path, min(page_id) AS page_id FROM p GROUP BY 1),
-      l AS (SELECT DISTINCT k.path AS f, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS t FROM k JOIN p USING (page_id) UNION SELECT path, substr(path, 1, 2) || '0' FROM k),
-      o AS (SELECT f, t, regexp_replace(t, '[?#].*$', '') AS b FROM l), c AS (SELECT f, t, 0 AS pr, b AS path FROM o UNION ALL SELECT f, t, 1, b || '.md' FROM o UNION ALL SELECT f, t, 2, b || '.mdx' FROM o UNION ALL SELECT f, t, 3, regexp_replace(b, '/$', '') || '/index.md' FROM o UNION ALL SELECT f, t, 4, regexp_replace(b, '/$', '') || '/README.md' FROM o),
+    "doc_neighbours": """WITH p AS (SELECT page_id, html, regexp_extract(url, '/([^/?#.]+)[^/]*$', 1) AS path FROM pages WHERE url IS NOT NULL), k AS (SELECT path, min(page_id) AS page_id FROM p GROUP BY 1),
+      l AS (SELECT DISTINCT k.path AS f, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS t FROM k JOIN p USING (page_id) UNION SELECT path, '/' || substr(path, 1, 1) || '0' FROM k),
+      o AS (SELECT f, t, regexp_replace(substr(t, 2), '[?#].*$', '') AS b FROM l WHERE t[1] = '/' AND t[2] <> '/'), n(pr, e) AS (VALUES (1, '.md'), (2, '.mdx'), (3, '/index.md'), (4, '/README.md'), (5, '/index.mdx')),
+      c AS (SELECT f, t, 0 AS pr, b AS path FROM o UNION ALL SELECT f, t, pr, b || e FROM o, n WHERE b <> '' AND NOT contains(b, '.')),
       e AS (SELECT f, arg_min(path, pr) AS t2 FROM c WHERE path IN (SELECT path FROM k) GROUP BY f, t) SELECT f AS a, t2 AS b FROM e WHERE f <> t2 UNION SELECT t2, f FROM e WHERE f <> t2""",
     "section_times": "SELECT l_orderkey::VARCHAR || CASE WHEN l_linenumber <= 2 THEN '#1' ELSE '#3' END AS section_id, max(l_shipdate) AS at FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1",
     "grounded_entities": f"""WITH n AS (SELECT doc_id, lang, text, lower(trim(regexp_replace({_PLAIN.format('text')}, '\\s+', ' ', 'g'))) AS body FROM documents WHERE text IS NOT NULL)
