@@ -147,3 +147,31 @@ def alert_quality(findings: DataFrame, labels: DataFrame, key: list[str]) -> Dat
     f, y = findings.select(*key).distinct().withColumn("f", F.lit(1)), labels.select(*key).distinct().withColumn("y", F.lit(1))
     both = f.join(y, key, "full").agg(F.count("f").alias("findings"), F.count("y").alias("labels"), F.count_if(F.col("f").isNotNull() & F.col("y").isNotNull()).alias("met"))
     return both.select("findings", "labels", "met", F.round(F.try_divide(F.col("met"), F.col("findings")), 6).alias("precision"), F.round(F.try_divide(F.col("met"), F.col("labels")), 6).alias("recall"))
+
+
+def asked(placed: DataFrame, split_name: str | None = None, only: DataFrame | None = None, id_col: str = "query_id", holdout: bool = False) -> DataFrame:
+    """placed: questions with split -> those to ask: of one split or all, of the ids of ``only``; holdout stays sealed unless ``holdout`` is set."""
+    kind = F.coalesce("split", F.lit("holdout"))
+    rows = placed.where((kind == split_name if split_name else F.lit(True)) & ((kind != "holdout") | F.lit(holdout)))
+    return rows if only is None else rows.join(only.select(id_col), id_col, "left_semi")
+
+
+def golden_ranks(questions: DataFrame, expected: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """questions: query_id; expected: query_id, path, heading (null: any; else a part of it in any case); hits: query_id, rank (from 0), path, heading
+    -> query_id, rank of the first expected hit among k (null: missed), expected (sorted), got (the first hit)."""
+    def label(heading: str) -> Column:
+        return F.concat_ws(" > ", "path", heading)
+
+    near = hits.where(F.col("rank") < k)
+    want = expected.select("query_id", "path", F.lower("heading").alias("needle"))
+    fits = F.col("needle").isNull() | F.lower("heading").contains(F.col("needle"))
+    met = near.join(want, ["query_id", "path"]).where(fits).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    first = near.groupBy("query_id").agg(F.min_by(label("heading"), "rank").alias("got"))
+    listed = expected.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(label("heading"))), "; ").alias("expected"))
+    out = questions.select("query_id").join(met, "query_id", "left").join(first, "query_id", "left").join(listed, "query_id", "left")
+    return out.select("query_id", "rank", "expected", "got")
+
+
+def golden_summary(ranks: DataFrame) -> DataFrame:
+    found = F.col("rank").isNotNull()
+    return ranks.agg(F.count("*").alias("queries"), F.round(F.avg(found.cast("int")), 6).alias("success"), F.round(F.avg(F.coalesce(1.0 / (F.col("rank") + 1), F.lit(0.0))), 6).alias("mrr"), F.count_if(~found).alias("misses"))

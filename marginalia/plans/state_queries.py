@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as V
 from ..operators import impact as I
 from ..operators import reports as R
 from ..operators import states as T
 from . import base as B
+from . import evaluations as E
 
 DAY = 86_400_000_000
 
@@ -171,9 +173,36 @@ def fused_pages(spark: SparkSession, d: str) -> DataFrame:
     return T.fused_to_depth(lists, 1, 10, 16).select("query_id", "depth", "page", F.col("place").cast("long").alias("place"))
 
 
+def questions_asked(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of the splits that aren't sealed."""
+    return V.asked(E.split_assign(spark, d)).select("query_id", "split")
+
+
+def _golden(spark: SparkSession, d: str) -> DataFrame:
+    """Users as questions, their events by value as hits; a page under any heading is wanted, and one under a given part of a heading."""
+    from pyspark.sql import Window
+
+    e = B.table(spark, d, "events").where("user_id IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")) - 1
+    hits = e.select(F.col("user_id").alias("query_id"), place.alias("rank"), (F.col("event_id") % 12).cast("string").alias("path"), F.col("event_type").alias("heading"))
+    questions = e.select(F.col("user_id").alias("query_id")).distinct()
+    one = questions.select("query_id", (F.col("query_id") % 12).cast("string").alias("path"), F.lit(None).cast("string").alias("heading"))
+    two = questions.select("query_id", (F.col("query_id") % 5).cast("string").alias("path"), F.lit("CLI").alias("heading"))
+    return V.golden_ranks(questions, one.unionByName(two), hits, 5)
+
+
+def golden_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return _golden(spark, d).withColumn("rank", F.col("rank").cast("long"))
+
+
+def golden_summary(spark: SparkSession, d: str) -> DataFrame:
+    return V.golden_summary(_golden(spark, d))
+
+
 QUERIES = {f.__name__: f for f in (
     renames_noted, rename_events, commit_advanced, files_noted, dates_settled, times_of_files, dating_queue, card_transitions, card_events,
     hot_pending, newest_cards, one_model, judge_matrix, resolved_mean, links_resolved, missed_copies, fused_pages,
+    questions_asked, golden_ranks, golden_summary,
 )}
 
 _DATED = f"""{B.DOCS}, dated AS (SELECT *, ['git', 'needs', 'failed', 'filesystem'][1 + doc_id % 4] AS git_state, CASE WHEN doc_id % 4 = 0 THEN 'git' ELSE 'filesystem' END AS src,
@@ -186,6 +215,10 @@ _COUNTS = "count(*) FILTER (s = 'needs') AS needs, count(*) FILTER (s = 'git') A
 _STEPS = {"before": "git_state", "some": "CASE WHEN git_state = 'failed' OR doc_id % 10 = 3 THEN 'needs' ELSE git_state END", "all": "'needs'", "again": "CASE WHEN git_state = 'git' THEN 'git' ELSE 'needs' END"}
 _JUDGED = "j AS (SELECT doc_id AS id, max(quality) AS a FROM labels GROUP BY 1), k AS (SELECT id, a, CASE id % 4 WHEN 1 THEN (a + 1) % 3 WHEN 2 THEN (a + 2) % 3 ELSE a END AS b FROM j)"
 
+_GOLDEN = """h AS (SELECT user_id AS q, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS rank, (event_id % 12)::VARCHAR AS path, event_type AS heading FROM events WHERE user_id IS NOT NULL),
+golden AS (SELECT q AS query_id, min(rank) FILTER (path = (q % 12)::VARCHAR OR (path = (q % 5)::VARCHAR AND contains(lower(heading), 'cli'))) AS rank, array_to_string(list_sort([(q % 12)::VARCHAR, (q % 5)::VARCHAR || ' > CLI']), '; ') AS expected,
+  arg_min(concat_ws(' > ', path, heading), rank) AS got FROM h WHERE rank < 5 GROUP BY q)"""
+
 ORACLES = {
     "renames_noted": f"""WITH {_DATED}, {_MOVED} SELECT d.doc_id, coalesce(o.created_at, d.created_at) AS created_at, coalesce(o.src, d.src) AS created_source, coalesce(o.first_seen_at, d.first_seen_at) AS first_seen_at, CASE WHEN g.old_id IS NOT NULL THEN {B.NOW_SQL} ELSE d.deleted_at END AS deleted_at
       FROM dated d LEFT JOIN moved m ON m.new_id = d.doc_id LEFT JOIN dated o ON o.doc_id = m.old_id LEFT JOIN moved g ON g.old_id = d.doc_id""",
@@ -214,4 +247,7 @@ ORACLES = {
       c AS (SELECT q, depth, count(*) FILTER (r < depth) AS pages, any_value(last) AS last FROM b JOIN s USING (q), t GROUP BY ALL), d AS (SELECT q, min(depth) AS depth FROM c WHERE pages >= 10 OR last < depth OR depth = 16 GROUP BY 1),
       f AS (SELECT q, depth, page, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS score FROM l JOIN d USING (q) WHERE rank < depth GROUP BY ALL)
       SELECT * FROM (SELECT q AS query_id, depth, page, row_number() OVER (PARTITION BY q ORDER BY score DESC, page) AS place FROM f) WHERE place <= 10""",
+    "questions_asked": "SELECT query_id, split FROM (" + E.ORACLES["split_assign"] + ") WHERE split <> 'holdout'",
+    "golden_ranks": f"WITH {_GOLDEN} SELECT * FROM golden",
+    "golden_summary": f"WITH {_GOLDEN} SELECT count(*) AS queries, round(avg((rank IS NOT NULL)::INT), 6) AS success, round(avg(coalesce(1.0::DOUBLE / (rank + 1), 0)), 6) AS mrr, count(*) FILTER (rank IS NULL) AS misses FROM golden",
 }
