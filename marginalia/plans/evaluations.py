@@ -35,8 +35,7 @@ def round_robin_sample(spark, d):  # noqa: ANN001, ANN201
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Documents retrieved for each question, as pages by first occurrence."""
-    rows, index, sizes = Q._raw(spark, d)
-    scored = R.top(R.any_if_none(R.bm25(R.phrase_hits(index, R.phrases(B.queries_of_benchmark(spark, d))), sizes, Q.RAW_WEIGHTS)), 40)
+    scored = Q._search(spark, d, B.queries_of_benchmark(spark, d), 40, need="best")
     return V.first_pages(scored.select("query_id", F.substring_index("section_id", "#", 1).alias("page"), "rank"))
 
 
@@ -57,11 +56,8 @@ def pooled_labels(spark, d):  # noqa: ANN001, ANN201
 
 def doc_cap_topk(spark, d):  # noqa: ANN001, ANN201
     """At most two sections of a document, then at most eight of a question."""
-    from pyspark.sql import Window
-
-    scored = Q._scored(spark, d, R.query_frame(spark, Q.ONE)).withColumn("doc_id", F.substring_index("section_id", "#", 1))
-    own = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "section_id"))
-    return R.top(scored.withColumn("own", own).where("own <= 2"), 8).select("query_id", "section_id", F.col("rank").cast("long").alias("rank"))
+    best = Q._search(spark, d, R.query_frame(spark, Q.ONE), 8, need="any", per_doc=2)
+    return best.select("query_id", "section_id", F.col("rank").cast("long").alias("rank"))
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.sections import line_sections
 from . import base as B
 
 RAW_WEIGHTS = {"heading": 3.0, "text": 1.0}
@@ -17,71 +18,70 @@ PREFIX = {"1": "thing* of", "2": "ered*", "3": "zzz* the"}
 ONE = {"1": "the thing", "2": "of", "3": "--- the", "4": "der die", "5": "nosuchword the"}
 
 
-def _raw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = B.sections(spark, d).withColumn("heading", F.concat_ws(" / ", "source", "lang"))
-    return rows, *B.index(spark, d, "raw", rows, ["heading", "text"])
+def _raw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sections and their index. The sections are made from the documents as they are read: a question needs few of them."""
+    rows = line_sections(B.table(spark, d, "documents")).withColumn("heading", F.concat_ws(" / ", "source", "lang"))
+    return rows, B.index(spark, d, "raw", rows, ["heading", "text"])
 
 
-def _scored(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
-    _, index, sizes = _raw(spark, d)
-    return R.bm25(R.phrase_hits(index, R.phrases(asked)), sizes, RAW_WEIGHTS)
+def _search(spark: SparkSession, d: str, asked: DataFrame, k: int = K, **more) -> DataFrame:  # noqa: ANN003
+    return R.search(_raw(spark, d)[1], R.phrases(asked), RAW_WEIGHTS, k, **more)
 
 
-def _ranked(scored: DataFrame, k: int = K) -> DataFrame:
-    return R.top(scored, k).select("query_id", "section_id", F.col("rank").cast("long").alias("rank"), "score")
+def _ranked(best: DataFrame) -> DataFrame:
+    return best.select("query_id", "section_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    docs = B.table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("section_id"), "text")
+    return B.index(spark, d, "files", docs, ["text"])
 
 
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """Builds the three indexes if they aren't there: sections, tokens and distinct tokens of each."""
-    docs = B.table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("section_id"), "text")
-    made = {"raw": _raw(spark, d)[1:], "cards": B.index(spark, d, "cards", _cards(spark, d), list(CARD_WEIGHTS)), "files": B.index(spark, d, "files", docs, ["text"])}
+    made = {"raw": _raw(spark, d)[1], "cards": _card_index(spark, d), "files": _files(spark, d)}
     out = None
-    for name, (postings, sizes) in made.items():
-        one = sizes.agg(F.count("*").alias("sections"), F.sum("dl").alias("tokens")).crossJoin(postings.agg(F.countDistinct("token").alias("words")))  # one row each
+    for name, index in made.items():
+        one = index.agg(F.count("*").alias("sections"), F.sum("dl").alias("tokens")).crossJoin(R.words(index).agg(F.countDistinct("token").alias("words")))  # one row each
         one = one.select(F.lit(name).alias("name"), "sections", "tokens", "words")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def raw_and(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(R.all_terms(_scored(spark, d, R.query_frame(spark, ONE))))
+    return _ranked(_search(spark, d, R.query_frame(spark, ONE)))
 
 
 def or_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: questions of the benchmark over all sections, with provenance joined to the winners only."""
-    rows, index, sizes = _raw(spark, d)
-    scored = R.any_if_none(R.bm25(R.phrase_hits(index, R.phrases(B.queries_of_benchmark(spark, d))), sizes, RAW_WEIGHTS))
-    best = R.top(scored, K)
-    own = rows.select("section_id", "doc_id", "idx", "heading", F.substring("text", 1, 80).alias("snippet"))
-    return best.join(own, "section_id").select("query_id", "section_id", F.col("rank").cast("long").alias("rank"), "score", "partial", "matched", "doc_id", "idx", "heading", "snippet")
+    best = _search(spark, d, B.queries_of_benchmark(spark, d), need="best")
+    own = _raw(spark, d)[0].select("section_id", "doc_id", "idx", "heading", F.substring("text", 1, 80).alias("snippet"))
+    met = own.join(F.broadcast(best), "section_id")  # K rows a question
+    return met.select("query_id", "section_id", F.col("rank").cast("long").alias("rank"), "score", "partial", "matched", "doc_id", "idx", "heading", "snippet")
 
 
 def phrase(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(R.all_terms(_scored(spark, d, R.query_frame(spark, PHRASE))))
+    return _ranked(_search(spark, d, R.query_frame(spark, PHRASE)))
 
 
 def prefix(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(R.all_terms(_scored(spark, d, R.query_frame(spark, PREFIX))))
+    return _ranked(_search(spark, d, R.query_frame(spark, PREFIX)))
 
 
-def _cards(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.sections(spark, d)
+def _card_index(spark: SparkSession, d: str) -> DataFrame:
+    rows = line_sections(B.table(spark, d, "documents"))
     made = B.cards(rows).where("state = 'summarized'").select("section_hash", "tldr", "keywords")
-    return rows.select("section_id", "section_hash", F.concat_ws(" / ", "source", "lang").alias("heading")).join(made, "section_hash")
+    cards = rows.select("section_id", "section_hash", F.concat_ws(" / ", "source", "lang").alias("heading")).join(made, "section_hash")
+    return B.index(spark, d, "cards", cards, list(CARD_WEIGHTS))
 
 
 def weighted_cards(spark: SparkSession, d: str) -> DataFrame:
-    index, sizes = B.index(spark, d, "cards", _cards(spark, d), list(CARD_WEIGHTS))
-    hits = R.phrase_hits(index, R.phrases(R.query_frame(spark, ONE)))
-    return _ranked(R.all_terms(R.bm25(hits, sizes, CARD_WEIGHTS)))
+    return _ranked(R.search(_card_index(spark, d), R.phrases(R.query_frame(spark, ONE)), CARD_WEIGHTS, K))
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents as the unit, one column."""
-    docs = B.table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("section_id"), "text")
-    index, sizes = B.index(spark, d, "files", docs, ["text"])
-    hits = R.phrase_hits(index, R.phrases(R.query_frame(spark, ONE)))
-    return _ranked(R.all_terms(R.bm25(hits, sizes, {"text": 1.0})))
+    return _ranked(R.search(_files(spark, d), R.phrases(R.query_frame(spark, ONE)), {"text": 1.0}, K))
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -95,12 +95,9 @@ def _lists(spark: SparkSession, d: str, k: int, filtered: bool = False) -> dict[
 
     Filters discard hits after ranking, so lists are deeper where there are any.
     """
-    card_index, card_sizes = B.index(spark, d, "cards", _cards(spark, d), list(CARD_WEIGHTS))
-    asked = R.phrases(R.query_frame(spark, ONE))
     depth = R.depth(k, filtered)
-    cards = R.top(R.all_terms(R.bm25(R.phrase_hits(card_index, asked), card_sizes, CARD_WEIGHTS)), depth)
-    _, index, sizes = _raw(spark, d)
-    raw = R.top(R.all_terms(R.bm25(R.phrase_hits(index, asked), sizes, RAW_WEIGHTS)), depth)
+    cards = R.search(_card_index(spark, d), R.phrases(R.query_frame(spark, ONE)), CARD_WEIGHTS, depth)
+    raw = _search(spark, d, R.query_frame(spark, ONE), depth)
     v = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     near = R.vector_hits(v, v.where("id BETWEEN 1 AND 5").select(F.col("id").cast("string").alias("query_id"), "vector"), depth)
     vector = near.select("query_id", F.concat("id", F.lit("#0")).alias("section_id"), "rank")
@@ -114,7 +111,8 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 def _with_docs(spark: SparkSession, d: str, fused: DataFrame) -> DataFrame:
     docs = B.documents(B.table(spark, d, "documents"))
-    return fused.withColumn("doc_id", F.substring_index("section_id", "#", 1).cast("long")).join(docs.select("doc_id", "path", "updated_at"), "doc_id")
+    few = fused.withColumn("doc_id", F.substring_index("section_id", "#", 1).cast("long"))  # as many as the lists are deep
+    return docs.select("doc_id", "path", "updated_at").join(F.broadcast(few), "doc_id")
 
 
 def filtered(spark: SparkSession, d: str) -> DataFrame:

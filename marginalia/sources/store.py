@@ -1,4 +1,4 @@
-"""Tables that are made once and read often: sections, postings and lengths of a corpus.
+"""Tables that are made once and read often: sections and terms of a corpus.
 
 A table's place follows from what it is made of: its name and the length and time of every input file. As long as those
 stay, the files written first are read again; when one changes, the table is made anew. Tables lie in the folder that
@@ -56,7 +56,7 @@ def saved(spark: SparkSession, name: str, inputs: list[str], make: Callable[[],
         files, path = _path(spark, place)
         files.deleteOnExit(path)
         df = make()
-        df.write.mode("overwrite").parquet(place)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(place)
         _known[key] = (place, df.schema)
     place, schema = _known[key]
     return spark.read.schema(schema).parquet(place)

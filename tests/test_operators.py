@@ -259,3 +259,36 @@ def test_many_queries_meet_all_vectors(spark, monkeypatch):  # noqa: ANN001
     monkeypatch.setattr(R, "FEW_QUERIES", 3)
     monkeypatch.setattr(R, "VECTORS_A_SALT", 10)
     assert sorted(tuple(r[c] for c in ("query_id", "id", "cosine", "rank")) for r in R.vector_hits(v, asked, 4).collect()) == want
+
+
+def test_search_gives_what_joins_of_postings_give(spark):  # noqa: ANN001
+    """Phrases, prefixes, words asked for twice, many equal scores, several batches; and only the best rows are shuffled."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from marginalia.operators import retrieval as R
+
+    words = ["the", "of", "thing", "things", "in", "end"]
+    made = [(f"{k // 4}#{k % 4}", " ".join(words[(k * 7 + i * i * (1 + k % 5)) % 6] for i in range(1 + k % 9)), f"{words[k % 6]} head") for k in range(1200)]
+    rows = spark.createDataFrame([*made, ("x#0", None, ""), ("y#0", "", None)], "section_id string, text string, heading string").repartition(3)
+    weights = {"heading": 3.0, "text": 1.0}
+    asked = R.phrases(R.query_frame(spark, {"a": "the of", "b": "the-of thing*", "c": "in in nosuch", "d": "the.the", "e": "t* of", "f": "end"}))
+    scored = R.bm25(R.phrase_hits(R.postings(rows, list(weights)), asked), R.lengths(rows, list(weights)), weights).cache()
+    own = F.row_number().over(Window.partitionBy("query_id", F.substring_index("section_id", "#", 1)).orderBy(F.desc("score"), "section_id"))
+    wanted = {
+        "all": R.top(R.all_terms(scored), 7).withColumn("partial", F.lit(False)), "best": R.top(R.any_if_none(scored), 7),
+        "any": R.top(scored.withColumn("own", own).where("own <= 2"), 7).withColumn("partial", F.lit(False)),
+    }
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        for need, want in wanted.items():
+            got = R.search(R.terms(rows, list(weights)), asked, weights, 7, need=need, per_doc=2 if need == "any" else None)
+            columns = ["query_id", "section_id", "n_phrases", "matched", "partial", "score", "rank"]
+            assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())), need
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # it is what the registered queries do: before, each shuffled postings and every hit
+    from marginalia.plans.registry import QUERIES
+
+    plan = QUERIES["bm25_or_fallback"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
