@@ -292,3 +292,44 @@ def test_search_gives_what_joins_of_postings_give(spark):  # noqa: ANN001
 
     plan = QUERIES["bm25_or_fallback"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_means_summed_in_another_order_are_the_same(spark):  # noqa: ANN001
+    """On both sides of a rounding limit, apart by the last bits only; nulls and NaN equal themselves."""
+    from marginalia.operators import replays
+
+    nan, inf = float("nan"), float("inf")
+    frame = lambda rows: spark.createDataFrame(rows, "id int, n long, mean double")
+    was = frame([(1, 3, 0.1234565 - 1e-12), (2, 3, 0.1234), (3, 1, None), (4, 1, nan), (5, 1, None), (6, 2, 1.0), (7, 1, inf), (8, 1, 0.0)])
+    now = frame([(1, 3, 0.1234565 + 1e-12), (2, 3, 0.123402), (3, 1, None), (4, 1, nan), (5, 1, 0.0), (6, 3, 1.0), (7, 1, inf), (9, 1, 0.0)])
+    got = {tuple(r) for r in replays.regenerated(was, now, "id", ["n", "mean"]).collect()}
+    assert got == {(2, "different"), (5, "different"), (6, "different"), (8, "extra"), (9, "missing")}
+
+
+def test_terms_of_changes_are_told_apart_in_one_shuffle(spark):  # noqa: ANN001
+    frame = lambda rows: spark.createDataFrame(rows, "change string, text string")
+    got = impact.changed_terms(frame([("a", "one two two"), ("b", "old"), ("d", None)]), frame([("a", "two three"), ("c", "new"), ("d", "Été")]))
+    want = {("a", "one", "replaced"), ("a", "two", "kept"), ("a", "three", "added"), ("b", "old", "replaced"), ("c", "new", "added"), ("d", "ete", "added")}
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_many_files_are_paired_in_a_batch(spark):  # noqa: ANN001
+    """No Python call a file, texts stay out, and both sides go through one shuffle."""
+    frame = lambda rows: spark.createDataFrame(rows, "path string, idx int, heading string, text string")
+    old, new = frame([(f"f{k}", i, f"h{i}", f"t{i}") for k in range(700) for i in range(2)]), frame([(f"f{k}", 1 - i, f"h{i}", f"t{i}") for k in range(699) for i in range(2)])
+    made = impact.pair_sections(old, new)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {tuple(r) for r in made.collect()}
+    assert got == {(f"f{k}", i, 1 - i, 1) for k in range(699) for i in range(2)} | {("f699", i, None, None) for i in range(2)}
+
+
+def test_parsed_files_leave_python_in_slices():
+    """A batch of files isn't held as sections all at once; every file is parsed."""
+    import pandas as pd
+
+    texts = pd.Series([f"# t{k}\n\n" + "word " * 4000 for k in range(300)])
+    parts = list(parsing.parsed_slices(iter([(texts, pd.Series(["markdown"] * 300))])))
+    assert len(parts) > 2 and max(map(len, parts)) * 20_000 < 2 * parsing.SLICE_CHARS
+    assert [d["title"] for p in parts for d in p["doc"]] == [f"t{k}" for k in range(300)]
