@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,22 +14,36 @@ from ..functions.text import flavour, is_markdown
 SECTION = "index int, level int, heading_path array<string>, line_start int, line_end int, text string, hash string, token_estimate int, code_langs array<string>, has_tables boolean"
 DOCUMENT = "title string, frontmatter string, links_internal array<string>, links_external array<string>, line_count int, token_estimate int, hash string"
 
+#: Characters of texts whose sections are held at once, and what a file counts besides its own.
+SLICE_CHARS, ROW_CHARS = 2_000_000, 500
+
 
 def _struct(fields: str) -> str:
     return "struct<" + ", ".join(f"{name}: {kind}" for name, kind in (f.split(" ", 1) for f in fields.split(", "))) + ">"
 
 
-def parse_markdown(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """files with doc (a struct of the document's columns) and sections (an array)."""
-
-    @F.pandas_udf(f"struct<doc: {_struct(DOCUMENT)}, sections: array<{_struct(SECTION)}>>")
-    def parsed(texts: pd.Series, kinds: pd.Series) -> pd.DataFrame:
-        docs, sections = [], []
+def parsed_slices(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Texts and flavours -> doc and sections, in frames of bounded size."""
+    for texts, kinds in batches:
+        docs, sections, size = [], [], 0
         for text, kind in zip(texts, kinds, strict=True):
             d = markdown.parse(text or "", kind)
             sections.append([vars(s) for s in d.sections])
             docs.append({k: v for k, v in vars(d).items() if k != "sections"})
-        return pd.DataFrame({"doc": docs, "sections": sections})
+            size += len(text or "") + ROW_CHARS
+            if size >= SLICE_CHARS:
+                yield pd.DataFrame({"doc": docs, "sections": sections})
+                docs, sections, size = [], [], 0
+        if docs:
+            yield pd.DataFrame({"doc": docs, "sections": sections})
+
+
+def parse_markdown(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """files with doc (a struct of the document's columns) and sections (an array)."""
+
+    @F.pandas_udf(f"struct<doc: {_struct(DOCUMENT)}, sections: array<{_struct(SECTION)}>>")
+    def parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        return parsed_slices(batches)
 
     return files.withColumn("_p", parsed(F.col(text_col), flavour(F.col(path_col)))).select("*", "_p.doc", "_p.sections").drop("_p")
 
