@@ -11,6 +11,7 @@ from ..operators import cards as C
 from ..operators import evaluation as V
 from ..operators import impact as I
 from ..operators import retrieval as R
+from ..operators.sections import line_sections
 from . import base as B
 from . import search as Q
 
@@ -162,14 +163,18 @@ def changed_terms(spark, d):  # noqa: ANN001, ANN201
 
 
 def impact_candidates(spark, d):  # noqa: ANN001, ANN201
-    rows = B.sections(spark, d)
-    held = B.store.saved(spark, "held-terms", [f"{d}/documents.parquet"], lambda: I.held_terms(rows).repartitionByRange("term"))
-    df = I.with_total(held.groupBy("term").agg(F.count("*").alias("df")), rows)
-    before = rows.where("idx = 0").select(F.col("doc_id").alias("change"), "text")
-    after = rows.where("idx = 1").select(F.col("doc_id").alias("change"), "text", "section_hash")
-    chosen = I.leading_terms(I.changed_terms(before, after), df, F.col("n_sections"))
-    own = rows.where("idx = 0").select(F.col("doc_id").alias("change"), "section_id")
-    return I.candidates(chosen, held, F.col("n_sections"), own=own, after=after.select("change", "section_hash")).select("change", "section_id", "strength", "place")
+    rows, made_of = line_sections(B.table(spark, d, "documents")), [f"{d}/documents.parquet"]
+    held = B.store.saved(spark, "held-terms", made_of, lambda: I.held_terms(rows))
+
+    def changes():  # noqa: ANN202
+        terms = held.select(F.explode(F.split("held", " ")).alias("term")).where("term != ''")
+        df = I.with_total(terms.groupBy("term").agg(F.count("*").alias("df")), held)
+        first = rows.where("idx = 0").select(F.col("doc_id").alias("change"), "text", "section_id")
+        after = rows.where("idx = 1").select(F.col("doc_id").alias("change"), "text", "section_hash")
+        chosen = I.leading_terms(I.changed_terms(first, after), df, F.col("n_sections"))
+        return I.asked_terms(chosen, F.col("n_sections"), own=first, after=after)
+
+    return I.candidates(B.store.saved(spark, "changes", made_of, changes), held).select("change", "section_id", "strength", "place")
 
 
 def doc_neighbours(spark, d):  # noqa: ANN001, ANN201

@@ -333,3 +333,42 @@ def test_parsed_files_leave_python_in_slices():
     parts = list(parsing.parsed_slices(iter([(texts, pd.Series(["markdown"] * 300))])))
     assert len(parts) > 2 and max(map(len, parts)) * 20_000 < 2 * parsing.SLICE_CHARS
     assert [d["title"] for p in parts for d in p["doc"]] == [f"t{k}" for k in range(300)]
+
+
+def test_candidates_are_those_of_scoring_every_section(spark, monkeypatch):  # noqa: ANN001
+    """Many equal strengths, documents over several slices, floors that rise; no more rows than a change's best leave a task."""
+    import random
+
+    rnd, words = random.Random(5), [f"w{k}" for k in range(25)]
+    sections = [(f"{k // 5}#{k % 5}", k // 5, f"h{k % 40}", " ".join(rnd.sample(words, rnd.randint(0, 9)))) for k in range(900)]
+    held = {s[0]: set(s[3].split()) for s in sections}
+    df = {w: sum(w in h for h in held.values()) for w in words}
+    changes = [(c, [(w, df[w], rnd.choice((0, 3, 3, 7))) for w in rnd.sample(words, rnd.randint(1, 6))], f"{c}#0", f"h{c}" if c % 2 else None) for c in range(30)]
+    want = set()
+    for c, terms, own, after in changes:
+        scored = [(-sum(w for t, _, w in terms if t in held[i]), i, d) for i, d, h, _ in sections if i != own and h != after and any(t in held[i] for t, _, _ in terms)]
+        of_doc: dict = {}
+        best = []
+        for s, i, d in sorted(scored):
+            of_doc[d] = of_doc.get(d, 0) + 1
+            best += [(c, i, d, -s)] if of_doc[d] <= 2 else []
+        want |= {(*r, k + 1) for k, r in enumerate(best[:8])}
+    asked = spark.createDataFrame(changes, "change bigint, terms array<struct<term: string, df: bigint, weight: bigint>>, own string, after string")
+    frame = spark.createDataFrame(sections, "section_id string, doc_id bigint, section_hash string, held string").coalesce(1)
+    monkeypatch.setattr(impact, "CHANGES_A_BLOCK", 11)
+    got = impact.candidates(asked, frame)
+    assert {tuple(r[k] for k in ("change", "section_id", "doc_id", "strength", "place")) for r in got.collect()} == want
+    # the same in one process, in small slices
+    for name, value in (("SECTIONS_A_SLICE", 16), ("ROWS_A_PRUNING", 40), ("PAIRS_A_SUM", 30)):
+        monkeypatch.setattr(impact, name, value)
+    block = impact._block(asked.toArrow(), None)
+    block |= {"whole": True}
+    first = impact._best_of_task(iter(frame.toArrow().to_batches(max_chunksize=100)), block, 2, 8)
+    assert 0 < first.num_rows <= 8 * len(changes)
+    order = {c: k for k, c in enumerate(block["change"].to_pylist())}
+    import numpy as np
+
+    ends = {r[0]: r for r in want if r[4] == 8}
+    floors = np.array([ends[c][3] if c in ends else -1 for c in order], np.int64), [ends[c][1] if c in ends else None for c in order]
+    best = impact._best_of_task(iter(frame.toArrow().to_batches(max_chunksize=100)), impact._block(asked.toArrow(), floors), 2, 8)
+    assert {(c, *r) for c, k in order.items() for r in zip(*(best.filter(np.array(best.column("c")) == k).column(n).to_pylist() for n in ("section_id", "doc_id", "strength")), strict=True)} == {r[:4] for r in want}
